@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import idfiles, packing, pii, runtime, secrets, toxicity
+from sparklog.llm import ann, decontam, idfiles, packing, pii, runtime, secrets, toxicity
 from sparklog.llm.runtime import table
 
 #: Where the vocabularies of the tokenizing queries are.
@@ -30,6 +30,10 @@ def op2_bitpacked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_token_files(spark, manifest, uri)
 
 
+def op3_projected_kd_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_secrets_decoding_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_layered")
@@ -46,8 +50,16 @@ def op6_toxicity_subword_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_boosted_candidates, op2_bitpacked_token_files, op4_secrets_decoding_worklist, op5_cost_balanced_packing, op6_toxicity_subword_bags)}
+    made = (
+        op1_pii_boosted_candidates, op2_bitpacked_token_files, op3_projected_kd_neighbours, op4_secrets_decoding_worklist,
+        op5_cost_balanced_packing, op6_toxicity_subword_bags, op7_qgram_decontamination,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
