@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.llm import ann, chat, decontam, idfiles, jaccard, packing, pii, runtime, secrets, toxicity
+from sparklog.llm import ann, chat, decontam, idfiles, jaccard, packing, pii, runtime, secrets, substring, toxicity
 from sparklog.llm.runtime import table
 
 #: Where the vocabularies of the tokenizing queries are.
@@ -58,6 +58,11 @@ def op8_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), n_words=3, num=90, den=100)
 
 
+def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.ordered(chat.conversations(table(spark, sf_dir, "conversations")))
     return found.select("conv_id", "turn", "role", "body", "answers", "n_quotes", "n_linked", "position")
@@ -67,7 +72,7 @@ def queries() -> dict:
     made = (
         op1_pii_boosted_candidates, op2_bitpacked_token_files, op3_projected_kd_neighbours, op4_secrets_decoding_worklist,
         op5_cost_balanced_packing, op6_toxicity_subword_bags, op7_qgram_decontamination, op8_prefix_tree_jaccard,
-        op10_quotation_linking,
+        op9_fm_index_repeats, op10_quotation_linking,
     )
     return {f.__name__: f for f in made}
 
