@@ -42,7 +42,7 @@ GOLD_EXCEPTION_SEGMENTS = _schema(
     ("event_time_utc", TS), ("severity", S), ("logger", S), ("created_at_utc", TS), ("source_id", S),
 )
 GOLD_EMBEDDINGS = _schema(
-    ("id", S), ("segment_id", S), ("embedding_model", S), ("embedding_version", S), ("embedding", T.ArrayType(T.FloatType(), False)),
+    ("id", S), ("segment_id", S), ("embedding_model", S), ("embedding_version", S), ("embedding", T.ArrayType(T.FloatType())),
     ("created_at_utc", TS), ("source_id", S),
 )
 PIPELINE_ERRORS = _schema(("at_utc", TS), ("source_id", S), ("step", S), ("error", S), ("detail", S))
