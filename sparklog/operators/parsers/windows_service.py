@@ -38,9 +38,12 @@ def severity_of(level: Column) -> Column:
 
 def classified(line: Column, ends: list[str]) -> Column:
     """A body line with its key and value (null key: not a pair) and whether it opens or closes an exception block."""
-    pair = text.matches(line, KEY_VALUE)
-    key = F.when(pair, text.strip(text.extract(line, KEY_VALUE, 1)))
-    value = F.when(pair, text.strip(text.extract(line, KEY_VALUE, 2)))
+    # KEY_VALUE without a regex: two white spaces or more, a key of one character or more, the first colon.
+    colon = F.instr(line, ":")
+    before = F.substring(line, F.lit(1), colon - 1)
+    pair = (colon > 3) & (F.length(before) - F.length(text.lstrip(before)) >= 2)
+    key = F.when(pair, text.strip(before))
+    value = F.when(pair, text.strip(F.substring(line, colon + 1, F.length(line))))
     opens, closes = F.coalesce(key.isin(EXCEPTION_KEYS), F.lit(False)), F.coalesce(F.lower(key).isin(TRAILING_KEYS) | key.isin(ends), F.lit(False))
     return F.struct(key.alias("key"), value.alias("value"), opens.alias("opens"), closes.alias("closes"), line.alias("line"))
 

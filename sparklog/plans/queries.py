@@ -19,7 +19,7 @@ from sparklog.operators.gold import segment_exceptions
 from sparklog.operators.parsers import get_parser
 from sparklog.operators.silver import parse_entries
 from sparklog.plans import rag
-from sparklog.session import pin_utc
+from sparklog.session import pin_utc, spread
 from sparklog.sources import synth
 from sparklog.sources.config import SourceConfig
 from sparklog.sources.tables import first_of, latest_by
@@ -56,7 +56,7 @@ def ntz(name: str) -> F.Column:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.windows_from_events(table(spark, sf_dir, "events"))
+    return synth.windows_from_events(spread(table(spark, sf_dir, "events")))
 
 
 def parsed(spark: SparkSession, sf_dir: str, policy: privacy.Policy | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def parsed(spark: SparkSession, sf_dir: str, policy: privacy.Policy | None = Non
 
 
 def apache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_entries(synth.apache_from_events(table(spark, sf_dir, "events")), APACHE)
+    return parse_entries(synth.apache_from_events(spread(table(spark, sf_dir, "events"))), APACHE)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

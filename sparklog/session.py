@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "sparklog", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -28,3 +28,9 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare scan dealt to all cores if it has fewer partitions than those (a table of one row group); large tables stay as they are."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
