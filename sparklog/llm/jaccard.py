@@ -270,11 +270,12 @@ def groups(docs: DataFrame, n_words: int = 3, num: int = 90, den: int = 100) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(sigs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(hi), pa.array(lo), lists], schema=schema)
 
+    # Merge joins at every size: a plan that changes with the size would hide what a join costs on a large input.
     signed = runtime.cut(source.mapInArrow(sign, "doc_id long, n_shingles long, hi long, lo long, sigs array<long>"), "signatures")
     classes = runtime.cut(signed.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     sigs = signed.select("lo", F.explode("sigs").alias("sig"))
     met = sigs.groupBy("sig").agg(F.min("lo").alias("m"), F.max("lo").alias("x")).filter("m < x").select("sig", "m")
-    blocks = components(sigs.join(met, "sig").filter("lo > m").select("lo", "m"))
+    blocks = components(sigs.join(met.hint("merge"), "sig").filter("lo > m").select("lo", "m"))
     blocks = runtime.cut(classes.join(blocks, F.col("lo") == F.col("node")).select("rep", "hi", "lo", "n", "root"), "blocks")
     split = blocks.groupBy("root").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("rep", "hi"), F.col("chunks")).cast("int")
@@ -298,12 +299,12 @@ def groups(docs: DataFrame, n_words: int = 3, num: int = 90, den: int = 100) ->
         a, b = (np.array(links, np.int64).reshape(-1, 2)).T
         return pa.Table.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=found)
 
-    at_work = dealt.join(source, dealt["rep"] == source["doc_id"]).select("rep", "hi", "lo", "root", "chunk", "i", "j", "text")
+    at_work = dealt.hint("merge").join(source, dealt["rep"] == source["doc_id"]).select("rep", "hi", "lo", "root", "chunk", "i", "j", "text")
     links = at_work.groupBy("root", "i", "j").applyInArrow(cell, "a long, b long")
     joined = components(links)
     home = classes.join(joined, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "hi", "lo")
-    some = rows.filter("n_shingles > 0").join(home, ["hi", "lo"]).select("doc_id", "n_shingles", "component_id")
+    some = rows.filter("n_shingles > 0").join(home.hint("merge"), ["hi", "lo"]).select("doc_id", "n_shingles", "component_id")
     return some.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -311,4 +312,4 @@ def keep_one(docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -
     """``docs`` with one row of each group of alike texts, that of the least ``doc_id``; texts without words all stay."""
     found = groups(docs, n_words, num, den)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
