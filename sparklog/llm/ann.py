@@ -140,14 +140,14 @@ def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k:
 
 def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col)
-    ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0)
+    ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0)
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).filter(F.coalesce(ok, F.lit(False)))
 
 
 def nearest(rows: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query row among all rows but those of its id: ``query_id, rank, vec_id, score``.
 
-    Vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do
+    Rows without an id and vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do
     those of another length than most have (of equally frequent lengths, the least). ``is_query``
     is a condition on ``vec_id``.
     """

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparklog.session import spread
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
@@ -44,9 +48,30 @@ def partitions(spark: SparkSession) -> int:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``text`` of a table (null text: empty), whatever else it holds."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``doc_id`` and ``text`` of a table (null text: empty), whatever else it holds. Rows without an id have no result and are left out."""
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the text compressed as ``packed``, for joins that must shuffle texts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, packed binary")
+
+
+def unsqueezed(packed: pa.Array) -> pa.Array:
+    import zstandard
+
+    tool = zstandard.ZstdDecompressor()
+    return pa.array([tool.decompress(p).decode() for p in packed.to_pylist()], pa.large_string())

@@ -60,3 +60,20 @@ def test_empty_documents(spark, sf_dir, no_docs):
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
     assert toxicity.train([], np.zeros(0)).score(np.array([0, 0]), np.zeros(0, np.uint8)).tolist() == [0.5]
+
+
+def test_nulls_in_every_column(spark):
+    """Rows without an id have no result; the others keep theirs."""
+    from sparklog.llm import decontam, idfiles, jaccard, packing, runtime, secrets, substring
+
+    rows = [(None, "a b c d e f", None, None, None), (None, None, None, None, None), (1, None, None, None, None), (2, "a b c d e f", "en", "s", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").distinct().collect())
+    bench = spark.createDataFrame([(None, None), (None, "a b c d e f g h"), (1, "a b c d e f")], "item_id long, text string")
+    labels = spark.createDataFrame([(None, None), (2, None)], "doc_id long, toxic int")
+    uri = runtime.new_dir(spark, "ids")
+    manifest = idfiles.write_token_files(docs, uri, corpus_pipeline.BYTE_VOCABULARY)
+    for df in (pii.pii(docs), secrets.secrets(docs), idfiles.read_token_files(spark, manifest, uri), packing.pack(docs, corpus_pipeline.BYTE_VOCABULARY), toxicity.scored(docs, toxicity.fit(docs, labels)), jaccard.groups(docs), substring.remove_repeats(docs)):
+        assert ids(df) == [1, 2]
+    assert ids(decontam.leaks(docs, bench)) == [2]
+    assert pii.redact_documents(docs).count() == 4 and decontam.drop_leaks(docs, bench).filter("doc_id = 1").count() == 1
