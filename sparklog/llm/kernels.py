@@ -43,7 +43,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def parts(column, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
+def parts(column, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
     """Runs of rows of at most ``max_bytes`` of text (one row at least): first row, end row,
     offsets (from 0), bytes and the rows themselves. Nulls count as empty texts."""
     if isinstance(column, pa.ChunkedArray):

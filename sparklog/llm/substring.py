@@ -24,6 +24,8 @@ from sparklog.llm.fm import FMIndex
 from sparklog.llm.kernels import BASE, U64, gram_hashes, mix, parts, ragged, span_hashes, words
 
 SPAN, GRAM = 20, 8
+#: Words in one index, unless one anchor has more: a task's anchors are indexed in shards of this size, one at a time.
+SHARD_WORDS = 1 << 18
 
 
 def segments(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             lists = batch.column(2)
             heads = np.array(lists.offsets)
             flat = {n: lists.values.field(n).to_numpy(zero_copy_only=False) for n in ("anchor", "seg", "begin", "windows")}
-            for a, b, off, buf, _ in parts(batch.column(1)):
+            for a, b, off, buf, _ in parts(runtime.unsqueezed(batch.column(1))):
                 starts, ends, first = words(buf, off)
                 h = span_hashes(buf, starts, ends)
                 pick = slice(heads[a], heads[b])
@@ -136,26 +138,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h[ragged(at, n)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(flat["anchor"][pick][own]), pa.array(flat["seg"][pick][own]), pa.array(ids[a + row][own]), pa.array(begin[own].astype(np.int32)), pa.array(windows[own].astype(np.int32)), held], schema=content)
 
-    texts = source.join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    packed = runtime.squeezed(source)  # texts cross the network twice, for the segments' words and for the result
+    texts = packed.join(wanted.hint("merge"), "doc_id").select("doc_id", "packed", "wanted")
     held = texts.mapInArrow(fetch, "anchor long, seg long, doc_id long, begin int, windows int, words array<long>")
     answer = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("docs", pa.list_(pa.int64())), ("begins", pa.list_(pa.int32()))])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One shard: all segments of this task's anchors."""
+        """All segments of this task's anchors, shard by shard."""
         got = list(batches)
         if not sum(b.num_rows for b in got):
             return
         t = pa.Table.from_batches(got).combine_chunks()
-        col = lambda n: t.column(n).to_numpy()
-        # Rows that repeat an id can bring a segment twice.
-        _, once = np.unique(np.stack([col("anchor"), col("seg")]), axis=1, return_index=True)
-        if len(once) < t.num_rows:
-            t = t.take(pa.array(np.sort(once))).combine_chunks()
-        lists = t.column("words").combine_chunks()
-        d, w, windows = earliest(col("doc_id"), col("begin").astype(np.int64), np.diff(np.array(lists.offsets)), lists.flatten().to_numpy())
-        offsets = pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32())
-        made = pa.Table.from_arrays([t.column("anchor"), t.column("seg"), pa.ListArray.from_arrays(offsets, pa.array(d)), pa.ListArray.from_arrays(offsets, pa.array(w.astype(np.int32)))], schema=answer)
-        yield from made.to_batches(max_chunksize=50_000)
+        got.clear()
+        # By anchor; rows that repeat an id can bring a segment twice.
+        key = np.stack([t.column("anchor").to_numpy(), t.column("seg").to_numpy()])
+        order = np.lexsort(key[::-1])
+        key = key[:, order]
+        fresh = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+        order, anchor = order[fresh], key[0, fresh]
+        size = t.column("windows").to_numpy()[order].astype(np.int64) + SPAN - 1
+        head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        shard = (np.cumsum(size) - size)[head] // SHARD_WORDS
+        cuts = np.append(head[np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))], len(order))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = t.take(pa.array(order[a:b])).combine_chunks()
+            lists = own.column("words").combine_chunks()
+            d, w, windows = earliest(own.column("doc_id").to_numpy(), own.column("begin").to_numpy().astype(np.int64), np.diff(np.array(lists.offsets)), lists.flatten().to_numpy())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32())
+            made = pa.Table.from_arrays([own.column("anchor"), own.column("seg"), pa.ListArray.from_arrays(offsets, pa.array(d)), pa.ListArray.from_arrays(offsets, pa.array(w.astype(np.int32)))], schema=answer)
+            yield from made.to_batches(max_chunksize=20_000)
 
     answers = held.repartition(runtime.partitions(spark), "anchor").mapInArrow(index, "anchor long, seg long, docs array<long>, begins array<int>")
     marks = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("mask", pa.int32())])
@@ -182,7 +193,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             ids, lists = batch.column(0), batch.column(2)
             heads = np.array(lists.offsets)
             begins, masks = (lists.values.field(n).to_numpy(zero_copy_only=False) for n in ("begin", "mask"))
-            for a, b, off, buf, _ in parts(batch.column(1)):
+            for a, b, off, buf, _ in parts(runtime.unsqueezed(batch.column(1))):
                 starts, ends, first = words(buf, off)
                 pick = slice(heads[a], heads[b])
                 row = np.repeat(np.arange(b - a), np.diff(heads[a : b + 1]))
@@ -202,5 +213,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(first)), pa.array(counted[first[1:]] - counted[first[:-1]]), pa.array(kept, pa.string())], schema=out)
 
     none = F.expr("cast(array() as array<struct<begin: int, mask: int>>)")
-    joined = source.join(by_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("marks", none).alias("marks"))
+    joined = packed.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "packed", F.coalesce("marks", none).alias("marks"))
     return joined.mapInArrow(strike, "doc_id long, n_words long, n_removed long, kept string")

@@ -63,6 +63,13 @@ def test_equals_plain_version(spark):
     assert result(df) == plain(rows)
 
 
+def test_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_WORDS", 40)
+    words = [str(i) for i in range(300)]
+    rows = [(i, " ".join(words[(7 * i) % 100 : (7 * i) % 100 + 90])) for i in range(25)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op9_fm_index_repeats(spark, sf_dir).collect())) == plain(rows)
