@@ -140,6 +140,8 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int |
             draft = f"{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(draft) as f:
                 f.write(encode_file(doc_ids, counts, ids, bits))
+            if fs.get_file_info(name).size is not None:  # of a task that was lost after this point; the same bytes
+                fs.delete_file(name)
             fs.move(draft, name)
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}, schema=MANIFEST)
 
@@ -157,7 +159,8 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int |
         if held:
             yield close()
 
-    ordered = runtime.texts(docs).repartitionByRange(runtime.partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # By doc_id alone: the sample that sets the ranges goes to the driver, and must not hold texts.
+    ordered = runtime.texts(docs).repartitionByRange(runtime.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return runtime.cut(ordered.mapInArrow(write, "file string, part long, seq long, n_docs long, n_ids long"), "manifest")
 
 
