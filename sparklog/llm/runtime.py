@@ -6,6 +6,7 @@ which every executor can read, so a lost executor costs a retry and nothing else
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,11 +31,17 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    free: let Spark delete the shuffle files of the plan just written now (it does so when the
+    driver collects its garbage), where a step's shuffles are as large as its input."""
     spark = df.sparkSession
     path = new_dir(spark, label)
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     every = source.mapInArrow(cut_up, "anchor long, seg long, doc_id long, begin int, windows int")
     often = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    repeated = runtime.cut(every.join(often, "anchor"), "repeated")
+    repeated = runtime.cut(every.join(often, "anchor"), "repeated", free=True)
     distinct = repeated.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "begin")).alias("place"), F.min("windows").alias("windows"))
     wanted = distinct.groupBy("place.doc_id").agg(F.collect_list(F.struct("anchor", "seg", F.col("place.begin").alias("begin"), "windows")).alias("wanted"))
     content = pa.schema([*fields, ("words", pa.list_(pa.int64()))])
