@@ -25,7 +25,7 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.llm import runtime
@@ -166,14 +166,15 @@ def tree_join(value: np.ndarray, size: np.ndarray, num: int, den: int, side: np.
     """Links that connect exactly the sets that all links connect. side: only pairs across sides count."""
     n = len(size)
     _, code, seen = np.unique(value, return_inverse=True, return_counts=True)
-    rank = np.empty(len(seen), np.int64)
-    rank[np.argsort(seen, kind="stable")] = np.arange(len(seen))
-    owner = np.repeat(np.arange(n), size)
-    token = rank[code.reshape(-1)]
-    order = np.lexsort((token, owner))
-    token = token[order]
+    code = code.reshape(-1).astype(np.int32)  # a cell holds far fewer elements than that
+    rank = np.empty(len(seen), np.int32)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(seen), dtype=np.int32)
+    token = rank[code]
+    del code, value
     ends = np.cumsum(size)
     sets = [token[e - s : e] for s, e in zip(size.tolist(), ends.tolist())]
+    for own in sets:
+        own.sort()  # in place: the sets are views of ``token``
     # Leaves of the prefix tree in order, and how far each shares its branch with the one before.
     leaves = sorted(range(n), key=lambda i: sets[i].astype(">u4").tobytes())
     spot = np.empty(n, np.int64)
@@ -186,7 +187,7 @@ def tree_join(value: np.ndarray, size: np.ndarray, num: int, den: int, side: np.
         shared[i] = differ[0] if len(differ) else m
     # Which sets hold an element in their prefix: sets that link meet in one.
     prefix = size - (num * size + den - 1) // den + 1
-    p_owner = np.repeat(np.arange(n), prefix)
+    p_owner = np.repeat(np.arange(n, dtype=np.int32), prefix)
     p_token = token[ragged(ends - size, prefix)]
     by = np.argsort(p_token, kind="stable")
     p_token, p_owner = p_token[by], p_owner[by]
@@ -251,7 +252,8 @@ def groups(docs: DataFrame, n_words: int = 3, num: int = 90, den: int = 100) ->
     spark = docs.sparkSession
     runtime.tune(spark)
     source = runtime.texts(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+    signature = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
 
     def digests(value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.concatenate([np.zeros(1, U64), np.cumsum(mix(value ^ BASE), dtype=U64)])
@@ -260,24 +262,35 @@ def groups(docs: DataFrame, n_words: int = 3, num: int = 90, den: int = 100) ->
         a = b - size
         return mix(ends[b] - ends[a] + size.astype(U64)).view(np.int64), mix(other[b] - other[a] ^ size.astype(U64)).view(np.int64)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for a, b, off, buf, _ in parts(batch.column(1)):
                 value, size = shingle_sets(off, buf, n_words)
                 hi, lo = digests(value, size)
-                sigs, count = signatures(value, size, num, den)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(sigs.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(hi), pa.array(lo), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(hi), pa.array(lo)], schema=schema)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of equal sets in a task one is signed
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, off, buf, _ in parts(batch.column(1)):
+                value, size = shingle_sets(off, buf, n_words)
+                keys = list(zip(*(x.tolist() for x in digests(value, size))))
+                fresh = np.array([k not in seen and not seen.add(k) for k in keys], bool)
+                sigs, count = signatures(value[np.repeat(fresh, size)], size[fresh], num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.repeat(ids[a:b][fresh], count))], schema=signature)
 
     # Merge joins at every size: a plan that changes with the size would hide what a join costs on a large input.
-    signed = runtime.cut(source.mapInArrow(sign, "doc_id long, n_shingles long, hi long, lo long, sigs array<long>"), "signatures")
+    signed = runtime.cut(source.mapInArrow(digest, "doc_id long, n_shingles long, hi long, lo long"), "digests")
     classes = runtime.cut(signed.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    sigs = signed.select("lo", F.explode("sigs").alias("sig"))
-    met = sigs.groupBy("sig").agg(F.min("lo").alias("m"), F.max("lo").alias("x")).filter("m < x").select("sig", "m")
-    blocks = components(sigs.join(met.hint("merge"), "sig").filter("lo > m").select("lo", "m"))
-    blocks = runtime.cut(classes.join(blocks, F.col("lo") == F.col("node")).select("rep", "hi", "lo", "n", "root"), "blocks")
-    split = blocks.groupBy("root").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks"))
+    # Signatures cross the network once: a window finds the least document of each part, and documents hang on it.
+    met = F.min("doc_id").over(Window.partitionBy("sig"))
+    linked = source.mapInArrow(sign, "sig long, doc_id long").withColumn("m", met).filter("doc_id > m")
+    near = components(linked.select("doc_id", "m"))
+    rooted = signed.join(near.hint("merge"), F.col("doc_id") == F.col("node")).groupBy("hi", "lo").agg(F.min("root").alias("root"))
+    blocks = runtime.cut(classes.join(rooted, ["hi", "lo"]).select("rep", "hi", "lo", "n", "root"), "blocks")
+    split = blocks.groupBy("root").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
     chunk = F.pmod(F.xxhash64("rep", "hi"), F.col("chunks")).cast("int")
     dealt = blocks.join(split, "root").withColumn("chunk", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("rep", "hi", "lo", "root", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
@@ -293,9 +306,10 @@ def groups(docs: DataFrame, n_words: int = 3, num: int = 90, den: int = 100) ->
             size.append(s[own])
             rep.append(t.column("rep").to_numpy()[a:b][own])
             side.append(t.column("chunk").to_numpy()[a:b][own])
-        rep, side = np.concatenate(rep), np.concatenate(side)
+        rep, side, size = np.concatenate(rep), np.concatenate(side), np.concatenate(size)
+        value[:] = [np.concatenate(value)]
         across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        links = tree_join(np.concatenate(value), np.concatenate(size), num, den, side if across else None)
+        links = tree_join(value.pop(), size, num, den, side if across else None)
         a, b = (np.array(links, np.int64).reshape(-1, 2)).T
         return pa.Table.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=found)
 
@@ -303,7 +317,7 @@ def groups(docs: DataFrame, n_words: int = 3, num: int = 90, den: int = 100) ->
     links = at_work.groupBy("root", "i", "j").applyInArrow(cell, "a long, b long")
     joined = components(links)
     home = classes.join(joined, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "hi", "lo")
+    rows = signed
     some = rows.filter("n_shingles > 0").join(home.hint("merge"), ["hi", "lo"]).select("doc_id", "n_shingles", "component_id")
     return some.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
