@@ -30,6 +30,8 @@ BUCKET_BITS = 18
 PASSAGE = 5
 #: At most so many labelled documents of each class are trained on (those of lowest hash).
 SAMPLE = 2500
+#: A text without words scores the share of class 1, but so much at most.
+EMPTY = 0.25
 DIM, EPOCHS, RATE = 8, 6, 0.5
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
@@ -105,13 +107,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model:
-    """Fit on whole texts; without both classes the score is the share of class 1."""
+def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int, int] | None = None) -> Model:
+    """Fit on whole texts; without both classes the score is the share of class 1.
+
+    counts: how many labelled texts of class 0 and 1 the sample stands for (else itself). The share and the cut go by them."""
     y = np.asarray(labels, np.float64)
-    share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
+    held = np.bincount(y.astype(np.int64), minlength=2)
+    stands = np.array(counts if counts is not None else held, np.float64)
+    share = float(np.clip(stands[1] / stands.sum(), 0.01, 0.99)) if stands.sum() else 0.5
     prior = float(np.log(share / (1 - share)))
+    empty = min(prior, float(np.log(EMPTY / (1 - EMPTY)))) if stands.sum() else prior  # no labels: no verdict
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BUCKET_BITS, np.float32), prior, prior)
+        return Model(np.zeros(1 << BUCKET_BITS, np.float32), prior, empty)
     rng = np.random.default_rng(seed)
     # Each distinct word's n-grams, once.
     words, rows = {}, []
@@ -180,22 +187,24 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model:
             soft -= (RATE * 0.2 * d_soft / np.sqrt(g_soft)).astype(np.float32)
             bias -= RATE * 0.2 * d_bias / np.sqrt(g_bias)
     table = folded().astype(np.float32)
-    # The cut at 0.5 is put midway between the classes' passages on the training texts.
+    # The cut at 0.5 is put midway between the classes' passages on the training texts, each weighing what its sample stands for.
+    many = stands / held
     best, _ = passage_best(word_scores()[every], per_row, PASSAGE)
     z = best[np.isfinite(best)]
     t = y[np.isfinite(best)]
     edges = np.unique(np.quantile(z, np.linspace(0, 1, 401)))
     cuts = (edges[:-1] + edges[1:]) / 2
-    wrong = [float(((z >= c) & (t == 0)).sum() + ((z < c) & (t == 1)).sum()) for c in cuts] or [0.0]
+    wrong = [float(many[0] * ((z >= c) & (t == 0)).sum() + many[1] * ((z < c) & (t == 1)).sum()) for c in cuts] or [0.0]
     good = np.flatnonzero(np.array(wrong) == min(wrong))
     cut = float(cuts[good[len(good) // 2]]) if len(cuts) else 0.0
-    return Model(table, -cut, prior)
+    return Model(table, -cut, empty)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on labelled documents whose crc32(doc_id as text) mod 5 is not 0, at most ``sample`` of each class.
 
-    Rows without a document or without a label take no part; of a document labelled twice each label counts."""
+    Rows without a document or without a label take no part; of a document labelled twice each label counts. The classes'
+    counts are taken over all labels of documents, not over the sample."""
     crc = F.crc32(F.col("doc_id").cast("string"))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter((crc % 5 != 0) & F.col("toxic").isin(0, 1))
     chosen = None
@@ -205,7 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # At most 2 * sample rows: small enough to send to every task whatever the input.
     rows = runtime.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, zlib.crc32(r.text.encode())))
-    return train([r.text for r in rows], np.array([r.toxic for r in rows]))
+    ids = runtime.texts(docs).select("doc_id")
+    found = {r["toxic"]: r["count"] for r in usable.join(ids, "doc_id", "left_semi").groupBy("toxic").count().collect()}
+    return train([r.text for r in rows], np.array([r.toxic for r in rows]), counts=(found.get(0, 0), found.get(1, 0)))
 
 
 def scored(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:

@@ -242,3 +242,21 @@ def test_toxicity_query(spark, sf_dir, odd_docs, no_docs):
     model = toxicity.fit(odd_docs, labels)
     assert toxicity.scored(odd_docs, model).count() == odd_docs.count()
     assert toxicity.scored(no_docs, toxicity.fit(no_docs, labels), keep_below=0.5).count() == 0
+
+
+def test_toxicity_counts_beyond_the_sample(spark):
+    """Both classes over the cap: the share and the cut are those of all labels, not of the sample."""
+    r = np.random.default_rng(4)
+    said = lambda t, n: [f"{t} {' '.join(r.choice(['one', 'two', 'red', 'blue', 'old'], 4))}" for _ in range(n)]
+    texts = said("fine thing", 540) + said("maybe so", 360) + said("awful idiot", 20) + said("maybe so", 80)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9001, ""), (9002, None), (9003, " \n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 900)) for i in range(1000)] + [(i, 1) for i in range(20_000, 24_000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.filter("doc_id < 9000"), labels.filter("doc_id < 20000"), sample=30)
+    score = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    wrong = [(score[i] >= 0.5) != (i >= 900) for i in range(1000)]
+    assert sum(wrong[:900]) < 120
+    assert len({score[i] for i in (9001, 9002, 9003)}) == 1 and 0.05 < score[9001] < 0.2
+    assert sorted(r.doc_id for r in toxicity.scored(docs.filter("doc_id > 9000"), model, keep_below=0.5).collect()) == [9001, 9002, 9003]
+    # Labels without a document count for nothing; mostly toxic tables keep texts without words all the same.
+    assert toxicity.fit(docs, labels, sample=5000).bias_empty == toxicity.fit(docs, labels.filter("doc_id < 20000"), sample=5000).bias_empty
+    assert toxicity.train(["bad"] * 9 + ["good"], np.array([1] * 9 + [0])).bias_empty < 0
