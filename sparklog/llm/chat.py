@@ -4,9 +4,12 @@ Lines that begin with ``>`` marks are quotes, as deep as they have marks. Runs o
 lines of one depth are passages. A passage's key is the hash of its letters and digits,
 lower-cased, with single spaces. Every message offers, as keys, its own whole text
 without quotes and each of its own lines; a passage is linked to the earliest earlier
-message of its conversation that offers its key. A message answers the message that its
-first linked passage of least depth comes from; a message without a linked passage goes
-on from the one before it.
+message of its conversation that offers its key. A passage that no earlier message offers
+is linked to the earliest one whose own words hold the passage's words in a row, wherever
+lines or quotes break them. So a passage that runs words of two messages together, or
+leaves out words, stays unlinked. A message answers the message that its first linked
+passage of least depth comes from; a message without a linked passage goes on from the
+one before it.
 
 The result is in reply order: after a message come the answers to it that others began,
 each with what goes on from it, in turn order, and then what goes on from the message
@@ -23,10 +26,16 @@ from sparklog.llm import runtime
 
 #: Turns gathered in one window at most, however long a conversation is.
 SPAN = 4096
+#: Of a passage sought within messages, so many first words (or all) say where to look.
+HEAD = 4
+
+
+def _plain(text: F.Column) -> F.Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def _key(text: F.Column) -> F.Column:
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    plain = _plain(text)
     return F.when(plain != "", F.sha2(plain, 256))
 
 
@@ -50,13 +59,34 @@ def parse(messages: DataFrame) -> DataFrame:
     return out.withColumn("body", body).withColumn("quotes", F.when(quoted, merged).otherwise(F.array().cast(f"array<{passage}>"))).drop("_lines")
 
 
+def _within(parsed: DataFrame, asked: DataFrame) -> DataFrame:
+    """The earliest message whose own words hold the words of each passage of ``asked`` (conv_id, plain, key) in a row:
+    ``conv_id, key, source``. Windows are hashed only where a passage's first words stand, and in the lengths sought there."""
+    words = F.split("plain", " ")
+    sought = asked.select("conv_id", "plain").distinct().select("conv_id", F.array_join(F.slice(words, 1, HEAD), " ").alias("head"), F.size(words).alias("n"))
+    heads = sought.groupBy("conv_id", "head").agg(F.collect_set("n").alias("lengths"))
+    own = parsed.join(sought.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.split(_plain(F.col("body")), " ").alias("words")).filter("words[0] != ''")
+    # A passage shorter than HEAD is its own head, so heads of fewer words are looked up as well.
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("words") - i + 1)), lambda k: F.struct(i.alias("at"), F.array_join(F.slice("words", i, k), " ").alias("head")))))
+    places = own.select("conv_id", "turn", F.explode(starts).alias("p")).select("conv_id", "turn", "p.at", "p.head")
+    hits = places.join(heads, ["conv_id", "head"]).select("conv_id", "turn", "at", F.explode("lengths").alias("n"))
+    hits = hits.groupBy("conv_id", "turn").agg(F.collect_set(F.struct("at", "n")).alias("hits"))
+    windows = own.join(hits, ["conv_id", "turn"]).select("conv_id", "turn", F.explode(F.filter("hits", lambda h: h["at"] + h["n"] - 1 <= F.size("words"))).alias("h"), "words")
+    keys = windows.select("conv_id", "turn", F.sha2(F.array_join(F.slice("words", F.col("h.at"), F.col("h.n")), " "), 256).alias("key"))
+    return keys.groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
+
+
 def link(parsed: DataFrame) -> DataFrame:
     """Per conversation and turn with a linked passage: ``conv_id, turn, answers`` (the turn answered) and ``n_linked``."""
     offers = parsed.select("conv_id", "turn", F.explode(F.array_distinct(F.filter(F.transform(F.concat(F.array("body"), F.split("body", "\n")), _key), lambda k: k.isNotNull()))).alias("key"))
     first = offers.groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
     asked = parsed.filter(F.size("quotes") > 0).select("conv_id", "turn", F.posexplode("quotes").alias("place", "quote"))
-    asked = asked.select("conv_id", "turn", "place", F.col("quote.depth").alias("depth"), _key(F.col("quote.text")).alias("key")).filter("key is not null")
-    met = asked.join(first, ["conv_id", "key"]).filter("source < turn")
+    asked = asked.select("conv_id", "turn", "place", F.col("quote.depth").alias("depth"), _plain(F.col("quote.text")).alias("plain")).filter("plain != ''").withColumn("key", F.sha2("plain", 256))
+    asked = runtime.cut(asked.join(first, ["conv_id", "key"], "left").withColumn("source", F.expr("if(source < turn, source, null)")), "asked")
+    met, missed = asked.filter("source is not null"), asked.filter("source is null").drop("source")
+    if not missed.isEmpty():
+        inside = missed.join(_within(parsed, missed), ["conv_id", "key"]).filter("source < turn")
+        met = met.unionByName(inside.select(met.columns))
     return met.groupBy("conv_id", "turn").agg(F.min_by("source", F.struct("depth", "place")).alias("answers"), F.count("*").alias("n_linked"))
 
 

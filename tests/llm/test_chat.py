@@ -107,3 +107,13 @@ def test_query_and_empty(spark, sf_dir):
     assert {(r.conv_id, r.turn): (r.body, r.answers, r.n_quotes, r.n_linked, r.position) for r in queries.op10_quotation_linking(spark, sf_dir).collect()} == plain(rows)
     assert got(spark.createDataFrame([], "conv_id long, turn long, role string, text string")) == {}
     assert chat.formatted(chat.conversations(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string"))).first().chat == "<|user|>\nhi\n"
+
+
+def test_partial_interleaved_and_rewrapped_quotes(spark):
+    said = "First point here.\nSecond point\n\nA third, rather long point that some program wraps anew.\nlast"
+    rows = [(1, 0, "user", said), (1, 1, "user", "other"), (1, 2, "user", "> Second point\n>\n> A third, rather long point that some program wraps anew.\nyes")]
+    rows += [(1, 3, "user", "> A third, rather long\n> point that some\n> program wraps anew.\nno"), (1, 4, "user", "> First point here.\n> Second point\nok\n> third, rather\nok")]
+    rows += [(1, 5, "user", "> here second\n> third\nwords left out"), (1, 6, "user", "> other\n> last\nwords of two"), (1, 7, "user", "> yes no\nfrom nobody")]
+    rows += [(2, 0, "user", "hello"), (2, 1, "user", "l1\nl2\n> hello\nl3\nl4"), (2, 2, "user", "> l1\n> l2\n>> hello\n> l3\n> l4\nall of it"), (3, 0, "user", "> said later on\na"), (3, 1, "user", "it is said later on here")]
+    linked = {(r.conv_id, r.turn): (r.answers, r.n_linked) for r in chat.link(chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert linked == {(1, 2): (0, 1), (1, 3): (0, 1), (1, 4): (0, 2), (2, 1): (0, 1), (2, 2): (1, 3)}
