@@ -1,8 +1,10 @@
 """Secrets in whole texts, also inside nested URL, Unicode, base64 and compressed layers.
 
-Base spans come from three patterns over the text itself. The worklist then takes every
-run of the text that is encoded, decodes it, scans what comes out, and goes on with the
-encoded runs of that, until no new layer appears. A layer's hash is kept, so a layer that
+Base spans come from three patterns over the text itself. The worklist then decodes the
+text (its URL or Unicode units in place, its base64 runs by themselves and joined across
+line breaks), scans what comes out, and goes on with what is encoded in that, until no new
+layer appears. A base64 run that gives no clean text is read from all four offsets, so
+characters before it do no harm. A layer's hash is kept, so a layer that
 decodes to one seen before ends there. Each decoded character keeps the span of the
 original text that it came from; a hit in a layer is reported with that span.
 """
@@ -10,7 +12,6 @@ original text that it came from; a hit in a layer is reported with that span.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import gzip
 import hashlib
@@ -36,11 +37,16 @@ HAS_LAYER = r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#|[A-Za-z0-9+/_-][A-Z0-9+/_-
 #: A layer grows to this many characters at most when it is decompressed.
 MAX_LAYER = 1 << 24
 
-URL_RUN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNI_RUN = re.compile(r"[^\s\\&]*(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)[^\s\\&]*)+")
 UNI_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 B64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over lines: a run with the run that ends the line before and those that begin the lines after it.
+B64_BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++\r?\n[ \t]*)?[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)*={0,2}")
+
+
+#: Where a compressed block may begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68\x78]")
+_STANDARD = str.maketrans("-_", "+/")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -54,8 +60,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 Layer = tuple[str, list[int], list[int]]  # text, and where each character begins and ends in the original
 
 
-def _substitute(run: re.Match, unit: re.Pattern, decode, starts: list[int], ends: list[int]) -> Layer | None:
-    text, at, base = run[0], 0, run.start()
+def _substitute(text: str, unit: re.Pattern, decode, starts: list[int], ends: list[int]) -> Layer | None:
+    """The whole text with its units decoded in place."""
+    at = 0
     out: list[str] = []
     b: list[int] = []
     e: list[int] = []
@@ -63,19 +70,14 @@ def _substitute(run: re.Match, unit: re.Pattern, decode, starts: list[int], ends
         got = decode(m)
         if got is None:
             continue
-        keep = range(base + at, base + m.start())
-        out.append(text[at : m.start()])
-        b += [starts[i] for i in keep]
-        e += [ends[i] for i in keep]
-        out.append(got)
-        b += [starts[base + m.start()]] * len(got)
-        e += [ends[base + m.end() - 1]] * len(got)
+        out += (text[at : m.start()], got)
+        b += starts[at : m.start()] + [starts[m.start()]] * len(got)
+        e += ends[at : m.start()] + [ends[m.end() - 1]] * len(got)
         at = m.end()
     if not at:
         return None
-    keep = range(base + at, run.end())
     out.append(text[at:])
-    return "".join(out), b + [starts[i] for i in keep], e + [ends[i] for i in keep]
+    return "".join(out), b + starts[at:], e + ends[at:]
 
 
 def _url(m: re.Match) -> str | None:
@@ -90,12 +92,13 @@ def _uni(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) == len(text) else None
+def _clean(text: str) -> bool:
+    return all(c.isprintable() or c in "\t\r\n" for c in text)
+
+
+def _text(raw: bytes) -> str:
+    """Bytes as UTF-8; each byte that is none stands as one surrogate."""
+    return raw.decode("utf-8", "surrogateescape")
 
 
 def _unpacked(raw: bytes) -> bytes | None:
@@ -119,32 +122,38 @@ def _unpacked(raw: bytes) -> bytes | None:
     return None
 
 
-def _base64(run: re.Match, starts: list[int], ends: list[int]) -> Layer | None:
-    body = run[0].rstrip("=")
-    if not re.search(r"[A-Z0-9+/_-]", body[1:]) or len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body.translate(str.maketrans("-_", "+/")) + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    base, b0, e0 = run.start(), starts[run.start()], ends[run.end() - 1]
-    seen = 0
-    while seen < 8 and (inner := _unpacked(raw)) is not None:
-        raw, seen = inner, seen + 1
-    if seen:
-        text = _readable(raw)
-        return (text, [b0] * len(text), [e0] * len(text)) if text else None
-    text = _readable(raw)
-    if text is None:
-        return None
-    b, e, at = [], [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        first, last = base + at * 8 // 6, base + ((at + n) * 8 - 1) // 6
-        b.append(starts[first])
-        e.append(ends[min(last, run.end() - 1)])
-        at += n
-    return text, b, e
+def _width(c: str) -> int:
+    """Bytes that a character of ``_text`` comes from."""
+    n = ord(c)
+    return 1 if n < 0x80 or 0xDC80 <= n < 0xDD00 else 2 if n < 0x800 else 3 if n < 0x10000 else 4
+
+
+def _base64(run: re.Match, starts: list[int], ends: list[int]) -> Iterator[Layer]:
+    """What a run holds if that is clean text, else what it holds from each of the four offsets, compressed blocks unpacked."""
+    at = [i for i, c in enumerate(run[0], run.start()) if c not in "= \t\r\n"]
+    body = "".join(run.string[i] for i in at).translate(_STANDARD)
+    if not re.search(r"[A-Z0-9+/]", body[1:]):
+        return
+    for shift in range(4):
+        part = body[shift:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        for m in MAGIC.finditer(raw):
+            inner, seen = memoryview(raw)[m.start() :], 0
+            while seen < 8 and (more := _unpacked(inner)) is not None:
+                inner, seen = more, seen + 1
+            if seen and (text := _text(inner)):
+                first = shift + m.start() * 8 // 6
+                yield text, [starts[at[first]]] * len(text), [ends[at[-1]]] * len(text)
+        text = _text(raw)
+        b, e, n = [], [], 0
+        for c in text:
+            b.append(starts[at[shift + n * 8 // 6]])
+            n += _width(c)
+            e.append(ends[at[shift + (n * 8 - 1) // 6]])
+        yield text, b, e
+        if not shift and len(body) % 4 != 1 and _clean(text):
+            return
 
 
 def layers(text: str) -> Iterator[Layer]:
@@ -153,10 +162,13 @@ def layers(text: str) -> Iterator[Layer]:
     work: list[Layer] = [(text, list(range(len(text))), list(range(1, len(text) + 1)))]
     while work:
         source, starts, ends = work.pop()
-        made = [_substitute(m, URL_UNIT, _url, starts, ends) for m in URL_RUN.finditer(source)] if "%" in source else []
+        made = [_substitute(source, URL_UNIT, _url, starts, ends)] if "%" in source else []
         if "\\" in source or "&#" in source:
-            made += [_substitute(m, UNI_UNIT, _uni, starts, ends) for m in UNI_RUN.finditer(source)]
-        made += [_base64(m, starts, ends) for m in B64_RUN.finditer(source)]
+            made.append(_substitute(source, UNI_UNIT, _uni, starts, ends))
+        for pattern in (B64_RUN, B64_BLOCK):
+            for m in pattern.finditer(source):
+                if pattern is B64_RUN or "\n" in m[0]:
+                    made += _base64(m, starts, ends)
         for layer in made:
             if layer is None or not layer[0]:
                 continue

@@ -119,6 +119,33 @@ def test_secrets_layers_map_back():
         assert pa.compute.match_substring_regex(pa.array([text]), secrets.HAS_LAYER)[0].as_py(), wrapped
 
 
+def test_secrets_layers_of_whole_texts():
+    key = "password=hunter2abc"
+    long = "x " * 40 + key + " y" * 40
+    b64 = lambda b, n=76: "\n".join(base64.b64encode(b).decode()[i : i + n] for i in range(0, len(base64.b64encode(b)), n))
+    noise = bytes(np.random.default_rng(3).integers(0, 256, 300, np.uint8)).hex(" ", 1).upper()
+    for text in [
+        "a password = %68%75nter2abc b",
+        '{"password": "h\\u0075nter2abc"}',
+        "password&#61; hunter2abc%",
+        *(f"see {b64((' ' * i + long).encode(), n)} end" for i in range(20) for n in (64, 76)),
+        f"see {b64(gzip.compress((noise + key).encode()))} end",
+        f"yaml:\n  {b64((noise + key).encode()).replace(chr(10), chr(10) + '  ')}\n",
+        *(f"{p}{b64(key.encode())}" for p in ("data/", "ab-", "k_", "x", "some/path/", "https://h/q/")),
+        *(f"{p}{b64(gzip.compress(key.encode()))}" for p in ("data/", "ab-", "k_", "x")),
+        b64(b"\xef\xbb\xbf\x1b[31m\x00" + key.encode()),
+    ]:
+        base, full = secrets.find_secrets(text)
+        found = [text[b:e] for k, b, e in full if k == "assign"]
+        assert base == [] and found, text
+        assert pa.compute.match_substring_regex(pa.array([text]), secrets.HAS_LAYER)[0].as_py(), text
+    for pad in range(60):  # wherever the line break falls, the span covers the whole secret
+        text = b64(("z" * pad + " " + key + " end").encode(), 64)
+        whole = [(b, e) for k, b, e in secrets.find_secrets(text)[1] if k == "assign"]
+        assert max(e - b for b, e in whole) >= 25, pad
+    assert secrets.find_secrets("%41 token = abcdefg %42")[1] == [("assign", 4, 19)]
+
+
 def test_secrets_odd_rows(odd_docs, no_docs):
     assert secrets.secrets(odd_docs).count() == odd_docs.count()
     assert secrets.secrets(no_docs).count() == 0
