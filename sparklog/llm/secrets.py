@@ -4,7 +4,8 @@ Base spans come from three patterns over the text itself. The worklist then deco
 text (its URL or Unicode units in place, its base64 runs by themselves and joined across
 line breaks), scans what comes out, and goes on with what is encoded in that, until no new
 layer appears. A base64 run that gives no clean text is read from all four offsets, so
-characters before it do no harm. A layer's hash is kept, so a layer that
+characters before it do no harm. Compressed blocks are unpacked as streams to their end, all
+members and all compressions of them, and scanned in windows that overlap. A layer's hash is kept, so a layer that
 decodes to one seen before ends there. Each decoded character keeps the span of the
 original text that it came from; a hit in a layer is reported with that span.
 """
@@ -13,11 +14,12 @@ from __future__ import annotations
 
 import base64
 import bz2
-import gzip
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -34,8 +36,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Cheap tests of whole columns for what the patterns and decoders could use.
 HAS_SECRET = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}"
 HAS_LAYER = r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#|[A-Za-z0-9+/_-][A-Z0-9+/_-][A-Za-z0-9+/_-]{6}"
-#: A layer grows to this many characters at most when it is decompressed.
-MAX_LAYER = 1 << 24
+#: Compressed bytes are handed over in slices (what one gives stays small), and what is unpacked is known by so many first bytes.
+SLICE, FIRST = 256, 1 << 16
+#: Unpacked text is scanned in windows of so many characters or more, which overlap by so many or more.
+WINDOW, OVERLAP = 1 << 20, 1 << 16
+#: A window is not cut within a run of these.
+RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\&#;\r\n"
 
 URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNI_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
@@ -101,25 +107,102 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "surrogateescape")
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """What a compressed block holds, by its first bytes; None for other bytes or beyond MAX_LAYER."""
+def _tool(head: bytes):
+    """A decompressor for a member or frame that begins so; None for other bytes."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    return None
+
+
+def _feed(tool, data: bytes) -> Iterator[bytes]:
+    """What a decompressor makes of some more bytes; a ValueError if they are damaged."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_LAYER)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().stream_reader(raw).read(MAX_LAYER)
-        if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_LAYER)
-    except (zlib.error, gzip.BadGzipFile, OSError, EOFError, ValueError, RuntimeError):
-        return None
+        if not isinstance(tool, bz2.BZ2Decompressor):
+            yield tool.decompress(data)
+            return
+        yield tool.decompress(data, WINDOW)
+        while not tool.eof and not tool.needs_input:
+            yield tool.decompress(b"", WINDOW)
+    except (zlib.error, OSError, EOFError, RuntimeError) as e:
+        raise ValueError("damaged") from e
     except Exception as e:  # zstandard's own error class
         if type(e).__name__ != "ZstdError":
             raise
-    return None
+        raise ValueError("damaged") from e
+
+
+def _begins(head: bytes) -> bool:
+    """Whether bytes begin a compressed block, by trying."""
+    tool = _tool(head)
+    try:
+        return tool is not None and next(_feed(tool, head[:SLICE])) is not None
+    except ValueError:
+        return False
+
+
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members and frames of a stream hold, one after the other; from bytes that are none on, these as they are."""
+    tool, held = None, b""
+    slices = (bytes(c[i : i + SLICE]) for c in chunks for i in range(0, len(c), SLICE))
+    for piece in chain(slices, (None,)):
+        held += piece or b""
+        while held and (len(held) >= 4 or tool is not None or piece is None):
+            if tool is None and (tool := _tool(held)) is None:
+                yield held
+                yield from slices
+                return
+            given, held = held, b""
+            try:
+                yield from filter(None, _feed(tool, given))
+            except ValueError:
+                yield given
+                yield from slices
+                return
+            if tool.eof:
+                held, tool = tool.unused_data.lstrip(b"\0"), None
+
+
+def _unpacked(raw: bytes) -> Iterator[bytes] | None:
+    """What a compressed block holds, in chunks, once no compression is left; None for other bytes.
+
+    A block that holds itself ends at its second turn."""
+    if not _begins(raw[:SLICE]):
+        return None
+    head, rest, seen = bytes(raw), iter(()), set()
+    while _begins(head[:SLICE]) and (key := hashlib.sha256(head[:FIRST]).digest()) not in seen:
+        seen.add(key)
+        chunks, rest = _inflate(chain((head,), rest)), iter(())
+        head = b""
+        for chunk in chunks:
+            head += chunk
+            if len(head) >= FIRST:
+                rest = chunks
+                break
+    return chain((head,), rest)
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[str]:
+    """A stream as texts that overlap, none of them cut within an encoded run or a row of spaces."""
+    tool = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    text = ""
+    for chunk in chunks:
+        text += tool.decode(chunk)
+        if len(text) >= WINDOW:
+            keep = min(len(text) - OVERLAP, len(text.rstrip(RUN_CHARS)), len(text.rstrip(" ")) - 64)
+            if keep > 0:
+                yield text
+                text = text[keep:]
+    text += tool.decode(b"", True)
+    if text:
+        yield text
 
 
 def _width(c: str) -> int:
@@ -139,12 +222,10 @@ def _base64(run: re.Match, starts: list[int], ends: list[int]) -> Iterator[Layer
         part = part[: len(part) - (len(part) % 4 == 1)]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
         for m in MAGIC.finditer(raw):
-            inner, seen = memoryview(raw)[m.start() :], 0
-            while seen < 8 and (more := _unpacked(inner)) is not None:
-                inner, seen = more, seen + 1
-            if seen and (text := _text(inner)):
-                first = shift + m.start() * 8 // 6
-                yield text, [starts[at[first]]] * len(text), [ends[at[-1]]] * len(text)
+            chunks = _unpacked(memoryview(raw)[m.start() :])
+            first = at[shift + m.start() * 8 // 6]
+            for text in _windows(chunks) if chunks is not None else ():
+                yield text, [starts[first]] * len(text), [ends[run.end() - 1]] * len(text)
         text = _text(raw)
         b, e, n = [], [], 0
         for c in text:
@@ -156,27 +237,34 @@ def _base64(run: re.Match, starts: list[int], ends: list[int]) -> Iterator[Layer
             return
 
 
+def _decoded(source: str, starts: list[int], ends: list[int]) -> Iterator[Layer | None]:
+    """What one step of decoding makes of a text."""
+    if "%" in source:
+        yield _substitute(source, URL_UNIT, _url, starts, ends)
+    if "\\" in source or "&#" in source:
+        yield _substitute(source, UNI_UNIT, _uni, starts, ends)
+    for pattern in (B64_RUN, B64_BLOCK):
+        for m in pattern.finditer(source):
+            if pattern is B64_RUN or "\n" in m[0]:
+                yield from _base64(m, starts, ends)
+
+
 def layers(text: str) -> Iterator[Layer]:
     """All decoded layers of a text, each once."""
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work: list[Layer] = [(text, list(range(len(text))), list(range(1, len(text) + 1)))]
+    work = [_decoded(text, list(range(len(text))), list(range(1, len(text) + 1)))]
     while work:
-        source, starts, ends = work.pop()
-        made = [_substitute(source, URL_UNIT, _url, starts, ends)] if "%" in source else []
-        if "\\" in source or "&#" in source:
-            made.append(_substitute(source, UNI_UNIT, _uni, starts, ends))
-        for pattern in (B64_RUN, B64_BLOCK):
-            for m in pattern.finditer(source):
-                if pattern is B64_RUN or "\n" in m[0]:
-                    made += _base64(m, starts, ends)
-        for layer in made:
+        for layer in work[-1]:
             if layer is None or not layer[0]:
                 continue
             key = hashlib.sha256(f"{layer[1][0]}:{layer[2][-1]}:{layer[0]}".encode("utf-8", "surrogatepass")).digest()
             if key not in seen:
                 seen.add(key)
                 yield layer
-                work.append(layer)
+                work.append(_decoded(*layer))
+                break
+        else:
+            work.pop()
 
 
 def find_secrets(text: str, decode: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -146,6 +146,28 @@ def test_secrets_layers_of_whole_texts():
     assert secrets.find_secrets("%41 token = abcdefg %42")[1] == [("assign", 4, 19)]
 
 
+def test_secrets_unpacks_to_the_end():
+    import bz2
+
+    import zstandard
+
+    key = b"password=hunter2abc"
+    zstd = zstandard.ZstdCompressor().compress
+    nested = key
+    for i in range(13):
+        nested = (gzip.compress, zlib.compress, bz2.compress, zstd)[i % 4](nested)
+    filler = b"some plain words, " * 64_000
+    held = [pack(b"first") + pack(b" then ") + pack(key) for pack in (gzip.compress, zlib.compress, bz2.compress, zstd)]
+    held += [pack(filler * 16 + key) for pack in (gzip.compress, bz2.compress, zstd)]  # beyond 2 ** 24
+    held += [gzip.compress(b"x" * n + " é".encode() * 40_000 + key + filler) for n in (900_000, (1 << 20) - 80_008)]
+    held += [gzip.compress(filler[: (1 << 20) - 12] + key + filler), gzip.compress(b"secret" + b" " * 3_000_000 + b"= hunter2abc")]
+    held += [nested, gzip.compress(b"a") + key, gzip.compress(b"\xff\xfe\x00" + key), gzip.compress(filler + base64.b64encode(gzip.compress(filler * 2 + key)) + filler)]
+    for i, raw in enumerate(held):
+        text = f"né {base64.b64encode(raw).decode()} after"
+        assert ("assign", 3, len(text) - 6) in secrets.find_secrets(text)[1], i
+    assert secrets._unpacked(b"x^2 + y^2 = z^2") is None and secrets._unpacked(b"BZh9 plain") is None
+
+
 def test_secrets_odd_rows(odd_docs, no_docs):
     assert secrets.secrets(odd_docs).count() == odd_docs.count()
     assert secrets.secrets(no_docs).count() == 0
