@@ -272,6 +272,13 @@ def batch_retrieve(spark, d):
     return retrieval.batch_retrieve(rows.filter("vec_id < 5"), rows, 3, "vec_id", "vec_id").select("query_id", "row_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def batch_retrieve_hundredths(spark, d):
+    """The whole query set: every row whose id is divisible by 100 asks all rows. ``batch_retrieve`` asks the five ids of its SQL."""
+    rows = table(spark, d, "embeddings")
+    return retrieval.batch_retrieve(rows.filter("vec_id % 100 = 0"), rows, 3, "vec_id", "vec_id").select("query_id", "row_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(f"WITH {_SIGNED} SELECT DISTINCT sig AS segment_text, CAST(1 AS DOUBLE) AS length, CAST(384 AS BIGINT) AS dim FROM s")
 def embed_normalized(spark, d):
     """Distinct signature texts embedded: unit vectors of the pinned dimension."""
