@@ -7,6 +7,7 @@ which every executor can read, so a lost executor costs a retry and nothing else
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,11 @@ from sparklog.session import spread
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_sparklog_shared", None) or "file://" + tempfile.mkdtemp(prefix="sparklog-")
         spark._sparklog_shared = found
     return found.rstrip("/")
@@ -42,12 +45,22 @@ def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the folders of tables made by ``cut`` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches small enough for rows of long texts."""
+    """Arrow batches small enough for rows of long texts. Plans read these settings when they run, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def partitions(spark: SparkSession) -> int:

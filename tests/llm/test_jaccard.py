@@ -55,7 +55,7 @@ def corpus(r, n, boiler=True):
     return rows
 
 
-@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100)])
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100), (2, 70, 100), (2, 50, 100)])
 def test_groups_equal_all_pairs(spark, n, num, den):
     rows = corpus(random.Random(n), 400) + [(5, None), (6, ""), (7, " \n"), (8, "one"), (9, "one"), (10, "one two"), (3, "ONE")]
     rows += [rows[10], rows[10]]
@@ -67,11 +67,20 @@ def test_groups_equal_all_pairs(spark, n, num, den):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
-def test_groups_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL", 2000)
+@pytest.mark.parametrize("cell", [150, 2000])
+def test_groups_over_many_cells(spark, monkeypatch, cell):
+    """Trees for single elements, and pairs of chunks."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
     rows = corpus(random.Random(9), 300, boiler=False)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.groups(df).collect())) == brute(rows, 3, 90, 100)
+    assert sorted(map(tuple, jaccard.groups(df, 2, 60, 100).collect())) == brute(rows, 2, 60, 100)
+
+
+def test_keep_one_of_repeated_ids_and_without_id(spark):
+    a, b, c = "one two three four five six seven", "x1 x2 x3 x4 x5 x6 x7", "y1 y2 y3 y4 y5 y6"
+    rows = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (2, b, "r"), (3, b, "s"), (4, c, "t"), (4, "", "u"), (4, None, "v"), (None, a, "w"), (None, None, None), (5, c, "z")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _n string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(1, a, "p"), (2, b, "r"), (4, c, "t"), (4, "", "u"), (4, None, "v"), (None, a, "w"), (None, None, None)]))
 
 
 def test_tree_join_connects_as_all_pairs():
@@ -89,7 +98,7 @@ def test_tree_join_connects_as_all_pairs():
         for a, b in links:
             x, y = set(sets[a]), set(sets[b])
             assert 100 * len(x & y) >= 90 * len(x | y)
-        f = jaccard.Forest(60)
+        f = jaccard.Forest(np.arange(60))
         for a, b in links:
             f.join(a, b)
         for i in range(60):
