@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sparklog.llm import idfiles, packing, pii, queries, runtime, secrets, tokens, toxicity
 from sparklog.llm.kernels import parts
@@ -309,3 +312,77 @@ def test_toxicity_counts_beyond_the_sample(spark):
     # Labels without a document count for nothing; mostly toxic tables keep texts without words all the same.
     assert toxicity.fit(docs, labels, sample=5000).bias_empty == toxicity.fit(docs, labels.filter("doc_id < 20000"), sample=5000).bias_empty
     assert toxicity.train(["bad"] * 9 + ["good"], np.array([1] * 9 + [0])).bias_empty < 0
+
+
+PIECES = ["a", "jo", "x_y", "@", "@@", ".", "..", "-", "+", "%", " ", "  ", "\n", "b.c", "d-e.org", "1", "22", "256", "1.2.3.4", "999.1", "+49", "(", ")", "[", "]", " at ", " AT ", " dot ", " DOT ", "[at]", "(dot)", "[.]", "[@]", " [at] ", "::", ":", "ab:", "fe80", "0049", "00", "1234", "/", "_", "555", "4111", "é", "Z"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30))
+def test_addresses_are_those_of_the_plain_patterns(found):
+    text = "".join(found)
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    assert list(pii._addresses(text, *pii.EMAIL)) == [m.span() for m in plain.finditer(text)]
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=30))
+def test_column_tests_hold_wherever_a_generator_matches(found):
+    text = "".join(found)
+    has, proposes = pii._tests(pa.array([text], pa.large_string()))
+    assert proposes[0] or not pii.candidates(text)
+    assert {k for k, _, _ in pii.base_spans(text)} <= {k for k in pii.KINDS if has[k][0]}
+
+
+def test_pii_accepts_forms_that_no_template_made():
+    good = ["write to jo.doe[@]mail.com today", "mail jane_roe2 (at) uni-bonn (dot) de please", "reach bob at example dot org now", "host 2001:db8:85a3::8a2e:370:7334 is up", "call (415) 555-2671 now", "tel 415-555-2671", "card 4111/1111/1111/1111 was charged"]
+    bad = ["we met at noon dot dot dot", "page 12::34 of it", "order 123.456 7890 shipped", "look at this dot matrix printer", "std::vector::iterator", "see no 1234.5678.9012.3456 there"]
+    assert sum(bool(pii.find_pii(t, pii.model())[1]) for t in good) >= 6
+    assert sum(bool(pii.find_pii(t, pii.model())[1]) for t in bad) <= 1
+
+
+def test_thresholds_keep_their_precision():
+    trees = pii.model()
+    x, y = pii._examples(2000)
+    p = trees.predict(x)
+    for i, kind in enumerate(pii.KINDS):
+        took = (x[:, i] > 0) & (p >= trees.threshold[kind])
+        assert took.sum() > 50 and y[took].mean() >= 0.97
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "1" * 1_000_000, "a." * 500_000 + "@", "ab " * 300_000, "%41" * 300_000, "A1b2" * 250_000, "a" * 999_999 + "%41", "1:" * 400_000, "+1" * 500_000, "token" * 200_000])
+def test_long_unbroken_texts_take_linear_time(text):
+    began = time.process_time()
+    pii.find_pii(text, pii.model())
+    middle = time.process_time()
+    secrets.find_secrets(text)
+    assert middle - began < 4 and time.process_time() - middle < 12
+
+
+def test_secrets_behind_percent_signs_that_are_no_utf8():
+    text = "x %E9%70assword=%68unter2abc y"
+    assert ("assign", 5, 28) in secrets.find_secrets(text)[1]
+
+
+def test_secrets_under_twelve_layers_and_in_a_large_one():
+    text = "secret=abcdef123456"
+    for _ in range(12):
+        text = base64.b64encode(gzip.compress(text.encode())).decode()
+    assert any(k == "assign" for k, _, _ in secrets.find_secrets(f"x {text} y")[1])
+    large = base64.b64encode(gzip.compress(b"filler words and more " * 830_000 + b"AKIA" + b"Q" * 20)).decode()
+    assert any(k == "access" for k, _, _ in secrets.find_secrets(large)[1])
+
+
+def test_secret_query_finds_what_the_function_finds(spark):
+    texts = ["", "password = hunter22", base64.b64encode(b"token=abcdefgh").decode(), "abcdefghijklmnopA" * 2, "t%6fken=abcdef", "plain words only", None, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: secrets.digest_spans(secrets.find_secrets(t or "")[1]) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.spans for r in secrets.secrets(df).collect()} == want
+
+
+def test_pii_query_finds_what_the_function_finds(spark):
+    texts = ["", "jo.doe[@]mail.com", "jo. at mail dot com", "x00491234567 890", "a@b.co", None, "(415) 555-2671", "12::34", "fe80::1:2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: pii.find_pii(t or "", pii.model())[1] for i, t in enumerate(texts)}
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in pii.pii(df).collect()} == want
