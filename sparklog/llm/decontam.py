@@ -1,11 +1,15 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are compared as lower-case letters and digits with single spaces. An item of n such
+Texts are compared as lower-case letters and digits with single spaces (case and punctuation
+by code point up to U+07FF, and the general and CJK punctuation blocks). An item of n such
 bytes may occur with k = EDIT_RATE * n edits. An occurrence then keeps at least
 ``n - q + 1 - k * q`` of the item's q-grams, on diagonals (place in the text minus place
 in the item) within k of each other. Shared q-grams are counted in diagonal bands of
 width 2(k+1) that overlap by half, so some band holds them all; a band that reaches the
-bound is aligned with the item in a band of diagonals, and kept within k edits.
+bound is aligned with the item in a band of diagonals, and kept within k edits. Pairs of a
+text and an item that share fewer q-grams in all go first, counted by distinct q-gram; pairs
+that repeat their q-grams so often that bands would cost more than the whole are aligned
+over the whole text, so repetitive texts cost neither memory nor matches.
 
 Items of fewer than q bytes are too short to tell from chance and match nothing. Items
 too short for the bound at k edits get the most edits that it allows.
@@ -13,6 +17,7 @@ too short for the bound at k edits get the most edits that it allows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +34,42 @@ TABLE_BITS = 22
 #: Benchmark bytes held in one index; a larger benchmark is matched in blocks of this size.
 BLOCK_BYTES = 16 << 20
 
+#: Pairs counted at once, and hits of a pair, per byte of its text and item, beyond which bands are not counted.
+COUNTED, DENSE = 1 << 22, 4
+
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
+_LOW = [chr(c).lower() for c in range(0x800)]
+#: Of code points in two bytes: the lower-case one, and whether it is a letter, digit or mark.
+_FOLD = np.array([ord(x) if len(x) == 1 and 0x80 <= ord(x) < 0x800 else c for c, x in enumerate(_LOW)], np.int64)
+_LETTER = np.array([chr(c).isalnum() or unicodedata.category(chr(c)).startswith("M") for c in range(0x800)])
+
+
+def _letters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case bytes, and which belong to letters and digits."""
+    low, word = LOWER[buf], _WORD[buf]
+    if not len(buf) or buf.max() < 0x80:
+        return low, word
+    at = np.flatnonzero((buf[:-1] >= 0xC2) & (buf[:-1] < 0xE0))
+    point = (buf[at].astype(np.int64) & 0x1F) << 6 | (buf[at + 1] & 0x3F)
+    low[at], low[at + 1] = 0xC0 | _FOLD[point] >> 6, 0x80 | _FOLD[point] & 0x3F
+    sign = at[~_LETTER[point]]
+    word[sign] = word[sign + 1] = False
+    at = np.flatnonzero(((buf[:-2] == 0xE2) & ((buf[1:-1] | 1) == 0x81)) | ((buf[:-2] == 0xE3) & (buf[1:-1] == 0x80)))  # U+2000-207F, U+3000-303F
+    word[at] = word[at + 1] = word[at + 2] = False
+    return low, word
 
 
 def normal(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Normalised bytes of rows, their offsets, and the place of each byte in ``buf``."""
-    word = _WORD[buf]
+    low, word = _letters(buf)
     first = np.zeros(len(buf) + 1, bool)
     first[off] = True
     keep = word.copy()
     keep[1:] |= word[:-1]
     keep &= word | ~first[:-1]
     at = np.flatnonzero(keep)
-    return np.where(word, LOWER[buf], 32)[at].astype(np.uint8), np.searchsorted(at, off), at
+    return np.where(word, low, 32)[at].astype(np.uint8), np.searchsorted(at, off), at
 
 
 def gram_codes(text: np.ndarray, q: int = Q) -> np.ndarray:
@@ -81,13 +108,41 @@ class Index:
         self.size = n
         self.budget = np.minimum((edit_rate * n).astype(np.int64), (n - q) // q)
         self.least = n - q + 1 - self.budget * q
-        codes = np.concatenate(codes) if codes else np.zeros(0, U64)
-        order = np.argsort(codes, kind="stable")
-        self.codes = codes[order]
-        self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
+        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        place = np.concatenate(place) if place else np.zeros(0, np.int64)
+        self.codes, code = np.unique(np.concatenate(codes) if codes else np.zeros(0, U64), return_inverse=True)
+        code = code.reshape(-1)
+        # Items by distinct code, and how often each has it.
+        order = np.lexsort((owner, code))
+        head = np.flatnonzero(np.append(True, (np.diff(code[order]) != 0) | (np.diff(owner[order]) != 0))) if len(code) else np.zeros(0, np.int64)
+        self.item, self.times = owner[order][head], np.diff(np.append(head, len(code)))
+        self.first = np.searchsorted(code[order][head], np.arange(len(self.codes) + 1))
+        # Each item's codes, ascending, with their places.
+        order = np.lexsort((code, owner))
+        self.own_code, self.own_place = code[order], place[order]
+        self.own_first = np.searchsorted(owner[order], np.arange(len(self.ids) + 1))
         self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[codes >> U64(64 - TABLE_BITS)] = True
+        self.table[self.codes >> U64(64 - TABLE_BITS)] = True
+
+    def _pairs(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and items that share as many q-grams as a match needs, and how many they share."""
+        key, times = np.unique(row * len(self.codes) + code, return_counts=True)
+        row, code = np.divmod(key, len(self.codes))
+        n = self.first[code + 1] - self.first[code]
+        ends = np.cumsum(n)
+        keys, hits, at = [], [], 0
+        while at < len(key):  # in steps of bounded size
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + COUNTED, side="right")))
+            post = ragged(self.first[code[at:end]], n[at:end])
+            pair, back = np.unique(np.repeat(row[at:end], n[at:end]) * len(self.ids) + self.item[post], return_inverse=True)
+            keys.append(pair)
+            hits.append(np.bincount(back.reshape(-1), np.repeat(times[at:end], n[at:end]) * self.times[post]))
+            at = end
+        pair, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back.reshape(-1), np.concatenate(hits))
+        row, item = np.divmod(pair, len(self.ids))
+        good = total >= self.least[item]
+        return row[good], item[good], total[good]
 
     def matches(self, off: np.ndarray, buf: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first byte, end byte) of each row and item that match, best alignment."""
@@ -96,43 +151,66 @@ class Index:
         if not len(codes) or not len(self.codes):
             return []
         pos = np.flatnonzero(self.table[codes >> U64(64 - TABLE_BITS)])
-        lo = np.searchsorted(self.codes, codes[pos])
-        hi = np.searchsorted(self.codes, codes[pos], side="right")
+        code = np.minimum(np.searchsorted(self.codes, codes[pos]), len(self.codes) - 1)
         row = np.searchsorted(rows, pos, side="right") - 1
-        fits = (hi > lo) & (pos + self.q <= rows[row + 1])
-        pos, lo, hi, row = pos[fits], lo[fits], hi[fits], row[fits]
-        post = ragged(lo, hi - lo)
-        row, pos = np.repeat(row, hi - lo), np.repeat(pos, hi - lo)
-        item, diagonal = self.owner[post], pos - self.place[post]
-        half = self.budget[item] + 1
-        band = diagonal // half
-        # Each hit counts in the two bands that overlap on its diagonal.
-        key = np.stack([np.tile(row, 2), np.tile(item, 2), np.concatenate([band, band - 1])])
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        head = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if key.shape[1] else np.zeros(0, np.int64)
-        count = np.diff(np.append(head, key.shape[1]))
-        good = head[count >= self.least[key[1, head]]] if len(head) else head
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for r, i, b in key[:, good].T.tolist():
-            known = best.get((r, i))
-            if known and known[0] == 0:
-                continue
-            k = int(self.budget[i])
-            base = b * (k + 1) - k
-            start = max(int(rows[r]), base)
-            end = min(int(rows[r + 1]), b * (k + 1) + 2 * (k + 1) + int(self.size[i]) + k)
-            got = self._verify(i, text[start:end], base - start, 2 * (k + 1) + 2 * k)
-            if got and (known is None or got[0] < known[0]):
-                best[(r, i)] = (got[0], int(at[start + got[1]]), int(at[start + got[2] - 1]) + 1)
-        return [(r, i, *v) for (r, i), v in best.items()]
+        fits = (self.codes[code] == codes[pos]) & (pos + self.q <= rows[row + 1])
+        pos, code, row = pos[fits], code[fits], row[fits]
+        if not len(pos):
+            return []
+        out = []
+        for r, i, hits in zip(*(x.tolist() for x in self._pairs(row, code))):
+            begin, end = int(rows[r]), int(rows[r + 1])
+            own = text[begin:end]
+            got = None
+            if (exact := own.tobytes().find(self.text[i].tobytes())) >= 0:
+                got = 0, exact, exact + len(self.text[i])
+            else:
+                a, b = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
+                bands = self._bands(i, pos[a:b] - begin, code[a:b]) if hits <= DENSE * (len(own) + len(self.text[i])) else None
+                k = int(self.budget[i])
+                if bands is None or len(bands) * 4 * (k + 1) > len(own):
+                    got = self._whole(i, own)
+                else:
+                    for band in bands.tolist():
+                        base = band * (k + 1) - k
+                        start = max(0, base)
+                        stop = min(len(own), band * (k + 1) + 2 * (k + 1) + int(self.size[i]) + k)
+                        new = self._verify(i, own[start:stop], base - start, 2 * (k + 1) + 2 * k)
+                        if new and (got is None or new[0] < got[0]):
+                            got = new[0], start + new[1], start + new[2]
+            if got:
+                out.append((r, i, got[0], int(at[begin + got[1]]), int(at[begin + got[2] - 1]) + 1))
+        return out
+
+    def _bands(self, i: int, pos: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Diagonal bands of a text and an item that reach the bound. Each hit counts in the two bands that overlap on its diagonal."""
+        own = slice(self.own_first[i], self.own_first[i + 1])
+        lo, hi = np.searchsorted(self.own_code[own], code), np.searchsorted(self.own_code[own], code, side="right")
+        band = (np.repeat(pos, hi - lo) - self.own_place[own][ragged(lo, hi - lo)]) // (self.budget[i] + 1)
+        found, count = np.unique(np.concatenate([band, band - 1]), return_counts=True)
+        return found[count >= self.least[i]]
+
+    def _whole(self, i: int, text: np.ndarray) -> tuple[int, int, int] | None:
+        """Edits, first byte and end byte of the item's best place in the text, over all diagonals, or None beyond the budget."""
+        item, k = self.text[i], int(self.budget[i])
+        step = np.arange(len(text) + 1, dtype=np.int32)
+        cost = np.zeros(len(text) + 1, np.int32)
+        for c in item.tolist():
+            new = cost + 1  # the item's byte is missing in the text
+            np.minimum(new[1:], cost[:-1] + (text != c), out=new[1:])
+            new -= step
+            cost = np.minimum.accumulate(new) + step  # extra bytes in the text
+        end = int(cost.argmin())
+        if cost[end] > k:
+            return None
+        edits = int(cost[end])
+        start = max(0, end - len(item) - k)
+        _, size = banded(item[::-1], text[start:end][::-1], -k, 2 * k + 1, anchored=True)
+        return edits, end - size, end
 
     def _verify(self, i: int, region: np.ndarray, shift: int, width: int) -> tuple[int, int, int] | None:
         """Edits, first byte and end byte of the item in the region, or None beyond the budget."""
         item, k = self.text[i], int(self.budget[i])
-        exact = region.tobytes().find(item.tobytes())
-        if exact >= 0:
-            return 0, exact, exact + len(item)
         edits, end = banded(item, region, shift, width)
         if edits > k:
             return None
@@ -177,7 +255,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row per matching pair: ``doc_id, item_id, edits, start, end`` (code points of the best alignment).
 
-    Null texts match nothing, repeated rows give repeated pairs, and an empty table on either side gives none.
+    Null texts and items of fewer than Q normalised bytes match nothing, repeated rows give repeated pairs, an empty
+    table on either side gives none, and other columns are ignored.
     """
     spark = docs.sparkSession
     runtime.tune(spark)

@@ -2,6 +2,8 @@
 
 import random
 import re
+import tracemalloc
+import unicodedata
 
 import numpy as np
 import pytest
@@ -72,7 +74,16 @@ def distance(a: str, b: str) -> int:
 
 
 def norm(s):
-    return re.sub("[^0-9a-z\x80-\U0010ffff]+", " ", s.lower()).strip()
+    def one(c):
+        n = ord(c)
+        if n < 0x80:
+            return c.lower() if c.isalnum() else " "
+        if n < 0x800:
+            low = c.lower()
+            return (low if len(low) == 1 and 0x80 <= ord(low) < 0x800 else c) if c.isalnum() or unicodedata.category(c)[0] == "M" else " "
+        return " " if 0x2000 <= n < 0x2080 or 0x3000 <= n < 0x3040 else c
+
+    return re.sub(" +", " ", "".join(map(one, s))).strip(" ")
 
 
 def edited(r, s, n):
@@ -133,3 +144,29 @@ def test_leaks_odd_rows(spark, odd_docs, no_docs):
     hit = decontam.leaks(planted, bench).collect()
     assert [(r.doc_id, r.item_id, r.edits, r.start) for r in hit] == [(1, 4, 0, 3)]
     assert sorted(r.doc_id for r in decontam.drop_leaks(planted, bench).collect()) == [2, 3]
+
+
+def test_leaks_fold_case_and_typographic_signs(spark):
+    bench = spark.createDataFrame([(1, "L'élève répète : « où est l'été ? » - il n'a pas de réponse")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "X L\u2019ÉLÈVE RÉPÈTE\u00a0: \u201coù est l\u2019été\u00a0?\u201d \u2014 il n\u2019a pas de RÉPONSE."), (1, "X L\u2019ÉLÈVE RÉPÈTE\u00a0: \u201coù est l\u2019été\u00a0?\u201d \u2014 il n\u2019a pas de RÉPONSE.")], "doc_id long, text string").withColumn("item_id", decontam.F.lit("x"))
+    assert [(r.doc_id, r.item_id, r.edits, r.start) for r in decontam.leaks(docs, bench).collect()] == [(1, 1, 0, 2)] * 2
+
+
+def test_leaks_of_repetitive_texts_are_exact_and_bounded():
+    r = random.Random(8)
+    items = [(0, "na " * 200), (1, "na na no " * 60), (2, "nana " * 100 + "batman " * 5)]
+    index = decontam.Index(items)
+    texts = ["na " * 700, "na na no " * 90 + "na " * 50, edited(r, "na " * 200, 12), "na " * 150, "nana " * 99 + "batman " * 5, "xyz " * 300]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    got = {(a, b): e for a, b, e, _, _ in index.matches(off, buf)}
+    for row, t in enumerate(texts):
+        for i, item in items:
+            a = norm(item)
+            edits, budget = distance(a, norm(t)), min(int(0.08 * len(a)), (len(a) - decontam.Q) // decontam.Q)
+            assert got.get((row, i)) == (edits if edits <= budget else None), (row, i, edits)
+    raw = b"na " * 333_000 + b"no"
+    tracemalloc.start()
+    assert {(i, e) for _, i, e, _, _ in index.matches(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))} == {(0, 0)}
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
