@@ -5,9 +5,13 @@ one of least hash is its anchor, so equal windows have equal anchors. The window
 document that share an anchor form a segment (SPAN to SPAN + 12 words). Anchors that
 occur once cannot hold a repeated window. Of the others, each distinct segment goes once,
 with its earliest place, to the shard of its anchor; the shard builds an FM-index over
-its segments and streams them through it. The matching statistics give, for each window,
-the class of equal windows and its earliest place. Copies of a segment get its answer by
+its segments and streams them through it by backward search. Each window's interval in the
+index tells whether it repeats and where first. Copies of a segment get its answer by
 a join. Words under a window that starts earlier elsewhere are removed.
+
+An anchor with more distinct segments than HOT (a passage that very many documents set in
+words of their own) is split by window: its windows' earliest places come from a minimum by
+window hash, which is combined before it is shuffled, so no anchor is one task's work.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from sparklog.llm.kernels import BASE, U64, gram_hashes, mix, parts, ragged, spa
 SPAN, GRAM = 20, 8
 #: Words in one index, unless one anchor has more: a task's anchors are indexed in shards of this size, one at a time.
 SHARD_WORDS = 1 << 18
+#: Distinct segments of one anchor that go into one index.
+HOT = 1 << 13
 
 
 def segments(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +74,9 @@ def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def earliest(doc: np.ndarray, begin: np.ndarray, n_words: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one shard's segments (words one after another in ``word``): for each window of each segment in
-    turn, the document and place of its earliest occurrence, and the windows' count per segment."""
+    turn, the document and place of its earliest occurrence, and the windows' count per segment. A window
+    whose interval in the index holds one suffix occurs nowhere else in the shard; others begin at the
+    interval's first place."""
     order = np.lexsort((begin, doc))  # so that earlier in the text is earlier in the corpus
     ends = np.cumsum(n_words)
     _, code = np.unique(word, return_inverse=True)
@@ -77,9 +85,11 @@ def earliest(doc: np.ndarray, begin: np.ndarray, n_words: np.ndarray, word: np.n
     text = np.zeros(int(size.sum()) + len(size), np.int64)
     at = np.cumsum(size + 1) - size - 1
     text[ragged(at, size)] = code[ragged((ends - n_words)[order], size)]
-    found = FMIndex(text, SPAN).stream(text, at + size)
+    index = FMIndex(text, SPAN)
+    lo, hi = index.stream(text, at + size)
     windows = size - SPAN + 1
-    hit = found[ragged(at, windows)]
+    own = ragged(at, windows)
+    hit = np.where(hi[own] - lo[own] > 1, index.earliest(lo[own]), own)
     of = np.searchsorted(at, hit, side="right") - 1
     d, w = doc[order][of], begin[order][of] + hit - at[of]
     # Back to the given order.
@@ -89,6 +99,28 @@ def earliest(doc: np.ndarray, begin: np.ndarray, n_words: np.ndarray, word: np.n
     return d[pick], w[pick], windows[back]
 
 
+def _by_window(held: DataFrame) -> DataFrame:
+    """Answers (anchor, seg, docs, begins) for segments of hot anchors: each window's earliest place by window hash."""
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("step", pa.int32()), ("window", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, seg, doc, begin, windows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            lists = batch.column(5)
+            h = gram_hashes(lists.flatten().to_numpy(zero_copy_only=False).view(U64), SPAN)
+            heads = np.array(lists.offsets)[:-1] - lists.offsets[0].as_py()
+            row = np.repeat(np.arange(len(windows)), windows)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            made = (anchor[row], seg[row], step.astype(np.int32), h[heads[row] + step].view(np.int64), doc[row], (begin[row] + step).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], schema=schema)
+
+    rows = runtime.cut(held.mapInArrow(run, "anchor long, seg long, step int, window long, doc_id long, begin int"), "windows")
+    first = runtime.cut(rows.groupBy("window").agg(F.min(F.struct("doc_id", "begin")).alias("place")), "first")
+    steps = rows.select("anchor", "seg", "step", "window").distinct().join(first.hint("merge"), "window")
+    listed = steps.groupBy("anchor", "seg").agg(F.sort_array(F.collect_list(F.struct("step", "place.doc_id", "place.begin"))).alias("s"))
+    return listed.select("anchor", "seg", F.col("s.doc_id").alias("docs"), F.col("s.begin").alias("begins"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_removed, kept`` (the words left, joined by one space).
 
@@ -113,9 +145,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[a + row]), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], schema=pa.schema(fields))
 
     every = source.mapInArrow(cut_up, "anchor long, seg long, doc_id long, begin int, windows int")
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    repeated = runtime.cut(every.join(often, "anchor"), "repeated", free=True)
-    distinct = repeated.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "begin")).alias("place"), F.min("windows").alias("windows"))
+    # Written, so that the join reads both sides from plain shuffles and splits a common anchor.
+    often = runtime.cut(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")
+    repeated = runtime.cut(every.join(often.hint("merge"), "anchor"), "repeated", free=True)
+    runtime.drop(often)
+    distinct = runtime.cut(repeated.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "begin")).alias("place"), F.min("windows").alias("windows")), "distinct")
+    hot = runtime.cut(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
     wanted = distinct.groupBy("place.doc_id").agg(F.collect_list(F.struct("anchor", "seg", F.col("place.begin").alias("begin"), "windows")).alias("wanted"))
     content = pa.schema([*fields, ("words", pa.list_(pa.int64()))])
 
@@ -144,22 +179,34 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     answer = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("docs", pa.list_(pa.int64())), ("begins", pa.list_(pa.int32()))])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All segments of this task's anchors, shard by shard."""
-        got = list(batches)
-        if not sum(b.num_rows for b in got):
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        got.clear()
+        """All segments of this task's anchors, which come in order, shard by shard."""
+        held: list[pa.RecordBatch] = []
+        words_held = 0
+        for batch in batches:
+            held.append(batch)
+            words_held += len(batch.column(5).flatten())
+            if words_held >= SHARD_WORDS:
+                t = pa.Table.from_batches(held)
+                anchor = t.column("anchor").to_numpy()
+                end = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+                if end:
+                    yield from answered(t.slice(0, end))
+                held = t.slice(end).combine_chunks().to_batches()
+                words_held = sum(len(b.column(5).flatten()) for b in held)
+        if held:
+            yield from answered(pa.Table.from_batches(held))
+
+    def answered(t: pa.Table) -> Iterator[pa.RecordBatch]:
         # By anchor; rows that repeat an id can bring a segment twice.
         key = np.stack([t.column("anchor").to_numpy(), t.column("seg").to_numpy()])
         order = np.lexsort(key[::-1])
         key = key[:, order]
-        fresh = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+        fresh = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))[: len(order)]
         order, anchor = order[fresh], key[0, fresh]
         size = t.column("windows").to_numpy()[order].astype(np.int64) + SPAN - 1
-        head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)])
         shard = (np.cumsum(size) - size)[head] // SHARD_WORDS
-        cuts = np.append(head[np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))], len(order))
+        cuts = np.append(head[np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(head)])], len(order))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             own = t.take(pa.array(order[a:b])).combine_chunks()
             lists = own.column("words").combine_chunks()
@@ -168,7 +215,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             made = pa.Table.from_arrays([own.column("anchor"), own.column("seg"), pa.ListArray.from_arrays(offsets, pa.array(d)), pa.ListArray.from_arrays(offsets, pa.array(w.astype(np.int32)))], schema=answer)
             yield from made.to_batches(max_chunksize=20_000)
 
-    answers = held.repartition(runtime.partitions(spark), "anchor").mapInArrow(index, "anchor long, seg long, docs array<long>, begins array<int>")
+    types = "anchor long, seg long, docs array<long>, begins array<int>"
+    if hot.isEmpty():
+        answers = held.repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(index, types)
+    else:
+        held = runtime.cut(held, "held")
+        cool = held.join(hot.hint("merge"), "anchor", "left_anti").repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(index, types)
+        answers = cool.unionByName(_by_window(held.join(hot.hint("merge"), "anchor", "left_semi")))
     marks = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("mask", pa.int32())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from sparklog.llm import queries, substring
 from sparklog.llm.fm import FMIndex
@@ -37,13 +38,32 @@ def test_index_counts_and_streams():
     text = np.concatenate([np.append(t, 0) for t in texts])
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     index = FMIndex(text, 7)
-    got = index.stream(text, ends)
-    for i in range(len(text)):
-        w = text[i : i + 7]
-        if len(w) < 7 or (w == 0).any():
-            assert got[i] == -1
-        else:
-            assert got[i] == next(j for j in range(len(text)) if (text[j : j + 7] == w).all())
+    other = np.concatenate([np.append(r.integers(1, 6, int(n)), 0) for n in r.integers(0, 60, 40)])
+    for asked in (text, other):
+        lo, hi = index.stream(asked, np.flatnonzero(asked == 0))
+        for i in range(len(asked)):
+            w = asked[i : i + 7]
+            places = [j for j in range(len(text)) if len(w) == 7 and (w > 0).all() and np.array_equal(text[j : j + 7], w)]
+            assert hi[i] - lo[i] == len(places)
+            assert not places or index.earliest(lo[i : i + 1])[0] == places[0]
+
+
+def test_index_is_compressed():
+    r = np.random.default_rng(1)
+    text = np.concatenate([np.append(r.integers(1, 30_000, 30), 0) for _ in range(8000)])
+    assert FMIndex(text, 20).nbytes < 9 * len(text)
+
+
+def test_result_comes_through_the_stream(spark, monkeypatch):
+    """Without what backward search reports, nothing is found."""
+    text = " ".join(map(str, range(60)))
+    rows = [(1, text + " a"), (2, "b " + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == plain(rows)
+    ids = np.array([1, 2]), np.array([0, 0]), np.array([20, 20]), np.tile(np.arange(20), 2)
+    assert substring.earliest(*ids)[0].tolist() == [1, 1]
+    monkeypatch.setattr(FMIndex, "stream", lambda self, t, e: (np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)))
+    assert substring.earliest(*ids)[0].tolist() == [1, 2]
 
 
 def test_equals_plain_version(spark):
@@ -63,8 +83,10 @@ def test_equals_plain_version(spark):
     assert result(df) == plain(rows)
 
 
-def test_small_shards(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 13, 1])
+def test_small_shards_and_hot_anchors(spark, monkeypatch, hot):
     monkeypatch.setattr(substring, "SHARD_WORDS", 40)
+    monkeypatch.setattr(substring, "HOT", hot)
     words = [str(i) for i in range(300)]
     rows = [(i, " ".join(words[(7 * i) % 100 : (7 * i) % 100 + 90])) for i in range(25)]
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
