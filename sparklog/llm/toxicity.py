@@ -1,11 +1,13 @@
 """Toxicity by bags of character n-grams.
 
-Every n-gram of the words of a passage (``PASSAGE`` words in a row, word ends marked)
-has a vector; the passage's vector is their average by word, and a linear softmax over
+Every n-gram of the words of a passage (``PASSAGE`` words in a row, a repeated word once, word
+ends marked) has a vector; the passage's vector is their average by word, and a linear softmax over
 it gives the class. Vectors and softmax are trained jointly, in numpy. A document's score
 is that of its most toxic passage, so a few words in a long text count as much as in a
-short one; training takes each document's highest passage in turn (the first round
-takes whole texts). Unseen misspellings share n-grams with the words they come from.
+short one; this departs from one average for a whole document, in which a few words drown.
+Training takes each document's highest passage in turn (the first round takes whole texts).
+A fourth of the labelled texts takes no step; the round and the cut are those that tell it
+apart best. Unseen misspellings share n-grams with the words they come from.
 
 Only the difference of the two class logits matters, and it is linear in the n-gram
 vectors: for scoring each n-gram is folded to one number, so a text costs a table look-up
@@ -27,12 +29,16 @@ from sparklog.llm.kernels import LOWER, SPACES, parts, ragged
 
 GRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 18
-PASSAGE = 5
+PASSAGE = 2
 #: At most so many labelled documents of each class are trained on (those of lowest hash).
 SAMPLE = 2500
 #: A text without words scores the share of class 1, but so much at most.
 EMPTY = 0.25
-DIM, EPOCHS, RATE = 8, 6, 0.5
+DIM, EPOCHS, RATE = 8, 8, 0.5
+#: A clean text rejected counts as much as so many toxic ones kept.
+CLEAN = 2
+#: Texts that must fill an n-gram's bucket (a fiftieth of the smaller class, if that is less), and texts of class 1 kept out of training that are enough to choose the cut.
+LEAST_TEXTS, LEAST_JUDGES = 5, 5
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
 
@@ -75,6 +81,13 @@ def word_logits(table: np.ndarray, off: np.ndarray, buf: np.ndarray) -> tuple[np
     return (total[end] - total[begin - 1]) / np.maximum(count[end] - count[begin - 1], 1), per_row
 
 
+def once(s: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words' numbers with runs of one number in a row (a word that is repeated) as one."""
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    keep = np.append(True, (s[1:] != s[:-1]) | (row[1:] != row[:-1]))[: len(s)]
+    return s[keep], np.bincount(row[keep], minlength=len(per_row))
+
+
 def passage_best(s: np.ndarray, per_row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The highest mean of ``width`` words in a row (of all, if fewer) of each row, and its first word; -inf for rows without words."""
     firsts = np.cumsum(per_row) - per_row
@@ -101,7 +114,7 @@ class Model:
         self.table, self.bias, self.bias_empty = table, bias, bias_empty
 
     def score(self, off: np.ndarray, buf: np.ndarray) -> np.ndarray:
-        s, per_row = word_logits(self.table, off, buf)
+        s, per_row = once(*word_logits(self.table, off, buf))
         best, _ = passage_best(s, per_row, PASSAGE)
         z = np.where(np.isfinite(best), best + self.bias, self.bias_empty)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -123,7 +136,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
     # Each distinct word's n-grams, once.
     words, rows = {}, []
     for t in texts:
-        rows.append(np.array([words.setdefault(w, len(words)) for w in t.encode().lower().split()], np.int64))
+        row = np.array([words.setdefault(w, len(words)) for w in t.encode().lower().split()], np.int64)
+        rows.append(row[np.append(True, row[1:] != row[:-1])[: len(row)]])
     names = list(words)
     ids, sizes = [], []
     for at in range(0, len(names), 50_000):
@@ -137,21 +151,34 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
         sizes.append(np.bincount(owner - 1, minlength=len(some)))
     ids, sizes = np.concatenate(ids), np.concatenate(sizes)
     heads = np.cumsum(sizes) - sizes
+    per_row = np.array([len(r) for r in rows])
+    every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    firsts = np.cumsum(per_row) - per_row
+    # Buckets that few texts fill say nothing of other texts: their vectors stay 0.
+    filled = np.zeros(1 << BUCKET_BITS, np.int32)
+    for r in rows:
+        own = np.unique(r)
+        filled[np.unique(ids[ragged(heads[own], sizes[own])])] += 1
+    usual = filled >= min(LEAST_TEXTS, max(1, int(held.min()) // 50))
     vec = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
+    vec[~usual] = 0
     soft = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2)
     g_vec, g_soft, g_bias = np.full((1 << BUCKET_BITS, 1), 1e-3, np.float32), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
-    per_row = np.array([len(r) for r in rows])
-    every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    firsts = np.cumsum(per_row) - per_row
+    # Every fourth text with words of each class is kept out of the steps; they choose the round and the cut.
+    known = np.flatnonzero(per_row)
+    apart = np.concatenate([known[y[known] == k][3::4] for k in (0, 1)])
+    judges = apart if (y[apart] == 1).sum() >= LEAST_JUDGES else known
+    learn = np.setdiff1d(known, apart) if judges is apart else known
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    many = stands / held  # texts that one of the sample stands for
+    chosen: tuple[float, np.ndarray, float] | None = None
 
     def folded() -> np.ndarray:
         return vec @ (soft[:, 1] - soft[:, 0])
 
     def word_scores() -> np.ndarray:
-        table = folded()
-        sums = np.concatenate([[0.0], np.cumsum(table[ids], dtype=np.float64)])
+        sums = np.concatenate([[0.0], np.cumsum(folded()[ids], dtype=np.float64)])
         return (sums[heads + sizes] - sums[heads]) / np.maximum(sizes, 1)
 
     for epoch in range(EPOCHS):
@@ -160,7 +187,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
         else:
             _, begin = passage_best(word_scores()[every], per_row, PASSAGE)
             size = np.minimum(per_row - (begin - firsts), PASSAGE)
-        order = rng.permutation(np.flatnonzero(per_row))
+        order = rng.permutation(learn)
         for at in range(0, len(order), 64):
             some = order[at : at + 64]
             w = every[ragged(begin[some], size[some])]
@@ -169,6 +196,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
             gram = ids[ragged(heads[w], sizes[w])]
             g_doc = np.repeat(doc, sizes[w])
             g_w = np.repeat(word_w / np.maximum(sizes[w], 1), sizes[w]).astype(np.float32)
+            g_w *= usual[gram]
             x = np.zeros((len(some), DIM))
             for k in range(DIM):
                 x[:, k] = np.bincount(g_doc, vec[gram, k] * g_w, len(some))
@@ -186,18 +214,16 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
             vec[uniq] -= (RATE * d_vec / np.sqrt(g_vec[uniq])).astype(np.float32)
             soft -= (RATE * 0.2 * d_soft / np.sqrt(g_soft)).astype(np.float32)
             bias -= RATE * 0.2 * d_bias / np.sqrt(g_bias)
-    table = folded().astype(np.float32)
-    # The cut at 0.5 is put midway between the classes' passages on the training texts, each weighing what its sample stands for.
-    many = stands / held
-    best, _ = passage_best(word_scores()[every], per_row, PASSAGE)
-    z = best[np.isfinite(best)]
-    t = y[np.isfinite(best)]
-    edges = np.unique(np.quantile(z, np.linspace(0, 1, 401)))
-    cuts = (edges[:-1] + edges[1:]) / 2
-    wrong = [float(many[0] * ((z >= c) & (t == 0)).sum() + many[1] * ((z < c) & (t == 1)).sum()) for c in cuts] or [0.0]
-    good = np.flatnonzero(np.array(wrong) == min(wrong))
-    cut = float(cuts[good[len(good) // 2]]) if len(cuts) else 0.0
-    return Model(table, -cut, empty)
+        # The cut at 0.5 goes where the judging texts are told apart best, each weighing what it stands for.
+        best, _ = passage_best(word_scores()[every], per_row, PASSAGE)
+        z, t = best[judges], y[judges]
+        order = np.argsort(-z, kind="stable")
+        wrong = many[1] * (t == 1).sum() + np.cumsum(np.where(t[order] == 1, -many[1], CLEAN * many[0]))  # if cut behind each
+        wrong = np.where(np.append(z[order][1:] < z[order][:-1], False), wrong, np.inf)
+        at = int(wrong.argmin())
+        if np.isfinite(wrong[at]) and (chosen is None or wrong[at] <= chosen[0]):
+            chosen = float(wrong[at]), folded().astype(np.float32), float(z[order[at]] + z[order[at + 1]]) / 2
+    return Model(chosen[1], -chosen[2], empty) if chosen else Model(folded().astype(np.float32), 0.0, empty)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -220,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
-    """Scores of ``docs`` as ``doc_id, score``; with ``keep_below``, the rows of ``docs`` themselves that score below it."""
+    """Scores of ``docs`` as ``doc_id, score`` (null text: empty; rows without an id left out; equal texts score alike); with ``keep_below``, the rows of ``docs`` themselves that score below it."""
     spark = docs.sparkSession
     runtime.tune(spark)
     held = spark.sparkContext.broadcast(model)  # 2 ** BUCKET_BITS numbers

@@ -27,11 +27,10 @@ def test_stages_keep_columns_and_clean_documents(stages, spark, sf_dir):
     for df in stages[:-1]:
         assert df.columns == stages[0].columns
     rows = [{r.doc_id: r for r in df.collect()} for df in stages[:-1]]
+    # Too few labels here to judge what the toxicity stage drops; test_toxicity_on_held_out_labels does, on a larger table.
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     clean = [d for d in rows[0] if labels.get(d) == 0]
     assert sum(d in rows[1] for d in clean) >= 0.97 * len(clean)
-    toxic = [d for d, t in labels.items() if t]
-    assert sum(d not in rows[1] for d in toxic) >= 0.9 * len(toxic)
     found = brute([(d, r.text) for d, r in rows[1].items()], 5, 80, 100)
     assert set(rows[2]) == {c for _, _, c in found}
     items = [norm(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -258,11 +259,12 @@ def test_packing_query(spark, odd_docs, no_docs):
 def test_packing_balances_cost():
     r = np.random.default_rng(0)
     lengths = r.integers(1, 700, 900)
-    cost = defaultdict(float)
+    cost, used = defaultdict(float), defaultdict(int)
     for d, start, n, seq, offset in packing.plan(lengths):
         cost[seq] += n + n * n / 2048
-    full = [c for s, c in cost.items()][:-12]
-    assert max(full) < 1.35 * (sum(full) / len(full))
+        used[seq] += n
+    full = [c for s, c in cost.items() if used[s] == 2048]
+    assert len(full) >= int(lengths.sum()) // 2048 - 1 and max(full) < 1.35 * (sum(full) / len(full))
 
 
 def test_toxicity_learns_and_generalises():
@@ -284,6 +286,43 @@ def test_toxicity_learns_and_generalises():
     assert len(set(odd[3:])) == 1
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Trained on the labels whose crc32 mod 5 is not 0, judged on the others. Some toxic labels are noise: their texts hold no
+    word that marks toxic texts (one of ten training texts or more, and never a clean one). The others must be caught."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    text = {r.doc_id: (r.text or "").lower() for r in docs.select("doc_id", "text").collect() if r.doc_id in y}
+    score = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
+    held = {d for d in text if zlib.crc32(str(d).encode()) % 5 == 0}
+    seen = [defaultdict(int), defaultdict(int)]
+    for d in text.keys() - held:
+        for w in set(re.findall(r"\w+", text[d])):
+            seen[y[d]][w] += 1
+    n = sum(y[d] for d in text.keys() - held)
+    marks = {w for w, k in seen[1].items() if 10 * k >= n and not seen[0][w]}
+    marked = [d for d in held if y[d] and marks & set(re.findall(r"\w+", text[d]))]
+    clean = [d for d in held if not y[d]]
+    assert len(marked) > 40 and len(clean) > 500
+    assert sum(score[d] >= 0.5 for d in marked) >= 0.95 * len(marked)
+    assert sum(score[d] >= 0.5 for d in clean) < 0.01 * len(clean)
+
+
+def test_toxicity_odd_rows(spark):
+    """Ties, repeated rows, long texts and clashing columns: equal texts score alike, whatever stands beside them."""
+    model = toxicity.train(["fine words here"] * 60 + ["you idiot there"] * 60, np.array([0] * 60 + [1] * 60))
+    long = "fine words here " * 100_000
+    rows = [(1, "you idiot", 7), (1, "you idiot", 7), (2, "you idiot", 8), (3, long, 9), (4, long + "you idiot there", 9), (5, "x" * 500_000, 9), (None, "you idiot", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    got = sorted((r.doc_id, r.score) for r in toxicity.scored(df, model).collect())
+    assert [d for d, _ in got] == [1, 1, 2, 3, 4, 5] and len({s for d, s in got if d < 3}) == 1
+    assert got[3][1] < 0.5 < got[4][1] and got[0][1] > 0.5
+    assert toxicity.scored(df, model, keep_below=0.5).columns == df.columns
+
+
 def test_toxicity_query(spark, sf_dir, odd_docs, no_docs):
     got = queries.op6_toxicity_subword_bags(spark, sf_dir).collect()
     assert len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
