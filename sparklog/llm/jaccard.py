@@ -362,12 +362,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, n_words: int, num: int, den: i
 
 def _units(rest: DataFrame) -> DataFrame:
     """Which sets meet in which trees: ``rest`` (w, node, n, label, least: the least label at w) as ``unit, by_element, node, label``."""
-    reached = components(rest.select("label", "least")).withColumnRenamed("node", "label")
+    reached = runtime.cut(components(rest.select("label", "least")).withColumnRenamed("node", "label"), "reached")
     placed = rest.join(reached.hint("merge"), "label")
     once = placed.groupBy("root", "node").agg(F.first("n").alias("n"), F.count("*").alias("elements"))
     cost = once.groupBy("root").agg(F.sum("n").alias("whole"), F.sum(F.col("n") * F.col("elements")).alias("copied"))
     chunks = F.ceil(F.col("whole") / CELL)
-    cost = cost.select("root", ((chunks > 1) & (F.col("copied") < F.col("whole") * chunks)).alias("by_element"))
+    # Written, so that the join reads plain rows on both sides, and splits a common root's.
+    cost = runtime.cut(cost.select("root", ((chunks > 1) & (F.col("copied") < F.col("whole") * chunks)).alias("by_element")), "cost")
     placed = placed.join(cost.hint("merge"), "root")
     return placed.select(F.when(F.col("by_element"), F.col("w")).otherwise(F.col("root")).alias("unit"), "by_element", "node", "n", "label").distinct()
 
@@ -375,7 +376,7 @@ def _units(rest: DataFrame) -> DataFrame:
 def _tree_links(rest: DataFrame, nodes: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     """Links between the sets of ``rest`` that its labels do not connect."""
     units = runtime.cut(_units(rest), "units")
-    sizes = units.groupBy("unit", "by_element").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks"))
+    sizes = runtime.cut(units.groupBy("unit", "by_element").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks")), "sizes")
     dealt = units.join(sizes.hint("merge"), ["unit", "by_element"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("unit", "by_element", "node", "label", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
@@ -425,8 +426,9 @@ def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     if not rest.isEmpty():
         more = runtime.cut(_tree_links(rest, nodes, n_words, num, den), "links", free=True)
         known = runtime.cut(components(links.unionByName(more)), "known")
-    least = known.join(classes.hint("merge"), "node").select("node", "root", "rep")
-    least = least.join(least.groupBy("root").agg(F.min("rep").alias("component_id")).hint("merge"), "root").select("node", "component_id")
+    reps = runtime.cut(known.join(classes.hint("merge"), "node").select("node", "root", "rep"), "reps")
+    least = runtime.cut(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    least = reps.join(least.hint("merge"), "root").select("node", "component_id")
     home = classes.join(least.hint("merge"), "node", "left").select("hi", "lo", F.coalesce("component_id", "rep").alias("component_id"))
     home = runtime.cut(home, "home")
     runtime.drop(nodes, often, labelled, apart, rest, links, known, classes)
