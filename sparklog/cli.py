@@ -78,16 +78,16 @@ def main(argv: list[str] | None = None) -> int:
         case "reset-silver":
             reset_silver(store, args.source_id)
         case "pipeline":
-            outcomes = pipeline.run_all(spark, args.root, args.config)
-            print(pipeline.summary(outcomes))
-            return pipeline.exit_code(outcomes)
+            records = pipeline.run_all(spark, args.root, args.config)
+            print(pipeline.report(records))
+            return pipeline.exit_code(records)
         case "retrieve":
             print(rag.format_results(retrieve(store, args.text, top_k=args.top_k, distinct=distinct, **filters).collect(), distinct))
         case "ask":
             got = rag.ask(store, args.text, model=args.model, top_k=args.top_k, distinct=distinct, **filters)
             print(got["answer"] + (f"\n\n{got['context']}" if args.show_context else ""))
         case "chat":
-            rag.chat_loop(rag.ChatSession(store, model=args.model, top_k=args.top_k, distinct=distinct, filters=filters))
+            rag.talk(rag.ChatSession(store, model=args.model, top_k=args.top_k, distinct=distinct, filters=filters))
         case "generate-windows" | "generate-apache":
             make = synth.windows_corpus if "windows" in args.command else synth.apache_corpus
             print(synth.write_files(make(spark, args.start, args.end, args.per_day, seed=args.seed), args.folder), "files written")

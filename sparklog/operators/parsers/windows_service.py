@@ -1,7 +1,7 @@
 """Windows service logs: a header line, indented ``key : value`` lines, an exception block.
 
-The body is folded line by line inside one expression, so an entry is parsed where it
-lies and nothing is shuffled.
+The body is read line by line inside expressions that are each evaluated once, so an entry
+is parsed where it lies and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +28,13 @@ TRAILING_KEYS = [
 ]
 TIME_FORMATS = ("M/d/yyyy h:mm:ss a", "d/M/yyyy h:mm:ss a")
 
-STATE = "struct<inside: boolean, pairs: array<struct<key: string, value: string>>, block: array<string>>"
+RUNS = "struct<inside: boolean, since: int, runs: array<struct<first: int, end: int>>>"
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once a row, however often they are used: Catalyst does not merge projections across a generator."""
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return rows.select("*", F.inline(F.array(made)))
 
 
 def severity_of(level: Column) -> Column:
@@ -48,28 +54,39 @@ def classified(line: Column, ends: list[str]) -> Column:
     return F.struct(key.alias("key"), value.alias("value"), opens.alias("opens"), closes.alias("closes"), line.alias("line"))
 
 
-def fold_body(body: Column, ends: list[str]) -> Column:
-    """State after all body lines: pairs (the last value of a key holds) and the exception block's lines."""
-
-    def state(inside: Column, pairs: Column, block: Column) -> Column:
-        return F.struct(inside.alias("inside"), pairs.alias("pairs"), block.alias("block"))
+def exception_runs(rows: Column) -> Column:
+    """Places (first, end) of the runs of classified lines that belong to an exception block, in one pass over the lines."""
 
     def step(acc: Column, x: Column) -> Column:
-        pair = F.struct(x["key"].alias("key"), x["value"].alias("value"))
-        stored = F.concat(F.filter(acc["pairs"], lambda p: p["key"] != x["key"]), F.array(pair))
-        last = F.element_at(acc["pairs"], -1)
-        grown = F.struct(last["key"].alias("key"), F.concat(last["value"], F.lit("\n"), text.strip(x["line"])).alias("value"))
-        block = F.concat(acc["block"], F.array(text.rstrip(x["line"])))
-        return (
-            F.when(acc["inside"] & ~x["closes"], state(F.lit(True), acc["pairs"], block))
-            .when(~acc["inside"] & x["opens"], state(F.lit(True), acc["pairs"], block))
-            .when(x["key"].isNotNull(), state(F.lit(False), stored, acc["block"]))
-            .when(F.size(acc["pairs"]) > 0, state(F.lit(False), F.concat(F.slice(acc["pairs"], 1, F.size(acc["pairs"]) - 1), F.array(grown)), acc["block"]))
-            .otherwise(acc)
-        )
-
-    start = F.expr(f"cast(named_struct('inside', false, 'pairs', array(), 'block', array()) as {STATE})")
-    return F.aggregate(F.transform(body, lambda s: classified(s, ends)), start, lambda acc, x: step(acc, x).cast(STATE))
+        state = lambda inside, since, runs: F.struct(inside.alias("inside"), since.alias("since"), runs.alias("runs")).cast(RUNS)
+        closed = F.concat(acc["runs"], F.array(F.struct(acc["since"].alias("first"), x["at"].alias("end"))))
+        return F.when(acc["inside"] & x["closes"], state(F.lit(False), F.lit(0), closed)).when(~acc["inside"] & x["opens"], state(F.lit(True), x["at"], acc["runs"])).otherwise(acc)
+
+    start = F.expr(f"cast(named_struct('inside', false, 'since', 0, 'runs', array()) as {RUNS})")
+    ended = lambda acc: F.when(acc["inside"], F.concat(acc["runs"], F.array(F.struct(acc["since"].alias("first"), F.size(rows).alias("end"))))).otherwise(acc["runs"])
+    marked = F.transform(rows, lambda x, i: F.struct(x["opens"].alias("opens"), x["closes"].alias("closes"), i.alias("at")))
+    return F.aggregate(marked, start, step, ended)
+
+
+def pairs_of(rows: Column) -> Column:
+    """Key and value of each pair among classified lines: lines without a key go on from the pair before them, and the last pair of a key holds."""
+    keyed = F.filter(F.transform(rows, lambda x, i: F.when(x["key"].isNotNull(), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(keyed, 2, F.size(rows)), F.array(F.size(rows)))
+
+    def pair(place: Column) -> Column:
+        first, end = place["first"], place["end"]
+        more = F.transform(F.slice(rows, first + 2, end - first - 1), lambda x: text.strip(x["line"]))
+        head = F.get(rows, first)
+        return F.struct(head["key"].alias("key"), F.array_join(F.concat(F.array(head["value"]), more), "\n").alias("value"))
+
+    found = F.transform(F.arrays_zip(keyed.alias("first"), ends.alias("end")), pair)
+    keys = F.transform(found, lambda p: p["key"])
+    return F.filter(found, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(rows)), p["key"]))
+
+
+def may_hold_exception(raw: Column) -> Column:
+    """False only for entries without an exception block: none of the keys that open one is in the text."""
+    return F.exists(F.array(*map(F.lit, EXCEPTION_KEYS)), lambda k: raw.contains(k))
 
 
 @register
@@ -92,11 +109,15 @@ class WindowsService:
         out = out.withColumn("event_time_local", clock.first_format(group(1), *TIME_FORMATS))
         out = out.withColumn("event_time_utc", clock.local_to_utc(F.col("event_time_local"), config.timezone))
         # Fields named in the policy end an exception block too: they must not hide in its text.
-        out = out.withColumn("_body", fold_body(F.slice("_lines", 2, 1_000_000_000), sorted(policy.actions)))
-        out = out.withColumn("is_exception", F.size("_body.block") > 0)
-        out = out.withColumn("exception_text", F.when(F.col("is_exception"), text.strip(F.array_join("_body.block", "\n"))))
-        fields = policy.fields(F.map_from_entries("_body.pairs"))
-        return out.withColumn("extra_fields", F.to_json(fields, {"ignoreNullFields": "false"})).drop("_lines", "_head", "_rest", "_body")
+        rows = F.transform(F.slice("_lines", 2, 1_000_000_000), lambda s: classified(s, sorted(policy.actions)))
+        out = once(once(out, _rows=rows), _runs=F.when(may_hold_exception(F.col("raw_entry")), exception_runs(F.col("_rows"))).otherwise(F.array().cast("array<struct<first: int, end: int>>")))
+        block = F.flatten(F.transform("_runs", lambda r: F.transform(F.slice("_rows", r["first"] + 1, r["end"] - r["first"]), lambda x: text.rstrip(x["line"]))))
+        rest = F.filter("_rows", lambda x, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (i < r["end"])))
+        out = out.withColumn("is_exception", F.size("_runs") > 0)
+        out = out.withColumn("exception_text", F.when(F.col("is_exception"), text.strip(F.array_join(block, "\n"))))
+        out = once(out, _rest_rows=F.when(F.col("is_exception"), rest).otherwise(F.col("_rows")))
+        fields = policy.fields(F.map_from_entries(pairs_of(F.col("_rest_rows"))))
+        return out.withColumn("extra_fields", F.to_json(fields, {"ignoreNullFields": "false"})).drop("_lines", "_head", "_rest", "_rows", "_runs", "_rest_rows")
 
     def segments(self, exception_text: Column) -> Column:
         pieces = F.flatten(F.transform(text.lines(text.newlines(exception_text)), lambda s: F.split(s, INNER_MARKER)))

@@ -17,6 +17,7 @@ from sparklog.operators.bronze import entries_of
 from sparklog.operators.embed import HashingEmbedder, embed_texts
 from sparklog.operators.gold import segment_exceptions
 from sparklog.operators.parsers import get_parser
+from sparklog.operators.parsers.windows_service import may_hold_exception
 from sparklog.operators.silver import parse_entries
 from sparklog.plans import rag
 from sparklog.session import pin_utc, spread
@@ -67,8 +68,13 @@ def apache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_entries(synth.apache_from_events(spread(table(spark, sf_dir, "events"))), APACHE)
 
 
+def failures(entries: DataFrame) -> DataFrame:
+    """Parsed entries with an exception; the others are left out by a cheap test first."""
+    return parse_entries(entries.filter(may_hold_exception(F.col("raw_entry"))), WINDOWS).filter("is_exception")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parsed(spark, sf_dir).filter("is_exception").select("event_id", "user_id", "exception_text", "event_time_utc", "severity", "logger")
+    rows = failures(windows(spark, sf_dir)).select("event_id", "user_id", "exception_text", "event_time_utc", "severity", "logger")
     return segment_exceptions(rows, "windows_service")
 
 
@@ -95,7 +101,7 @@ _STATUS = f"CASE {_K} % 8 WHEN 3 THEN 301 WHEN 4 THEN 404 WHEN 5 THEN 500 WHEN 6
 def signature_frequency(spark, d):
     """Flagship: packed log texts, split, parsed, segmented, counted per signature."""
     entries = entries_of(packed(spark, d), get_parser("windows_service").header_pattern)
-    found = parse_entries(entries, WINDOWS).filter("is_exception").select("event_time_utc", "exception_text")
+    found = failures(entries).select("event_time_utc", "exception_text")
     rows = segment_exceptions(found, "windows_service")
     return rows.groupBy("segment_text").agg(F.count("*").alias("occurrences"), F.min("event_time_utc").cast("timestamp_ntz").alias("first_seen_utc"), F.max("event_time_utc").cast("timestamp_ntz").alias("last_seen_utc"))
 
@@ -169,7 +175,7 @@ _BLOCKS = " ".join(f"WHEN {i} THEN 'Exception Type : {a}' || chr(10) || '   Mess
 
 @query(f"SELECT event_id, CASE {_K} % 4 {_BLOCKS} END AS exception_text FROM events WHERE event_type = 'error'")
 def parse_windows_exception(spark, d):
-    return parsed(spark, d).filter("is_exception").select("event_id", "exception_text")
+    return failures(windows(spark, d)).select("event_id", "exception_text")
 
 
 @query(f"SELECT event_id, date_trunc('second', ts) - INTERVAL 10 HOUR AS event_time_utc, date_trunc('second', ts) AS event_time_local, CASE WHEN {_STATUS} >= 500 THEN 'ERROR' WHEN {_STATUS} >= 400 THEN 'WARN' ELSE 'INFO' END AS severity, CAST({_STATUS} AS VARCHAR) AS severity_raw, 'GET /api/' || event_type || ' -> ' || {_STATUS} AS message, '10.0.' || (user_id // 256) || '.' || (user_id % 256) AS client_ip, CASE WHEN {_K} % 3 <> 0 THEN CAST({_K} AS VARCHAR) END AS bytes FROM events")

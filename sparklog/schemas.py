@@ -46,6 +46,7 @@ GOLD_EMBEDDINGS = _schema(
     ("created_at_utc", TS), ("source_id", S),
 )
 PIPELINE_ERRORS = _schema(("at_utc", TS), ("source_id", S), ("step", S), ("error", S), ("detail", S))
+PIPELINE_STEPS = _schema(("run_id", S), ("at_utc", TS), ("source_id", S), ("place", I), ("step", S), ("state", S), ("seconds", D), ("note", S))
 
 TABLES: dict[str, T.StructType] = {
     "bronze_processed_logs": BRONZE_PROCESSED_LOGS,
@@ -58,6 +59,7 @@ TABLES: dict[str, T.StructType] = {
     "gold_exception_segments": GOLD_EXCEPTION_SEGMENTS,
     "gold_embeddings": GOLD_EMBEDDINGS,
     "pipeline_errors": PIPELINE_ERRORS,
+    "pipeline_steps": PIPELINE_STEPS,
 }
 #: Large tables lie in one folder per source, so a source's runs prune the rest.
 PARTITIONED = {"bronze_landing", "bronze_archive", "silver_digested", "silver_log_entries", "gold_segmented", "gold_exception_segments", "gold_embeddings"}

@@ -177,10 +177,11 @@ def test_answers_and_chat(filled):
     assert any(line.endswith("[ s1/ERROR]") for line in rag.format_context(one, False).split("\n")) and "-" in rag.format_results(one, False)
     said, script = [], iter(["", "first", "/context", "break it", "reset", "/context", *[f"q{i}" for i in range(7)], "quit", "never"])
     chat = rag.ChatSession(store, generator=echo, embedder=e)
-    rag.chat_loop(chat, read=lambda _: next(script), write=said.append)
-    assert said[0].startswith("answer") and "occurrence(s)" in said[1] and said[2] == "[error] down" and said[4] == "(nothing retrieved yet)" and said[-1] == "Bye."
+    rag.talk(chat, read=lambda _: next(script), write=said.append)
+    assert "/context" in said[0] and said[1].startswith("answer") and "occurrence(s)" in said[2] and said[3].endswith(": down")
+    assert said[5] == rag.ChatSession(store).shown_context() and said[-2].startswith("answer") and next(script) == "never"
     assert [q for q, _ in chat.history] == ["q2", "q3", "q4", "q5", "q6"] and "User: q5" in echo.prompts[-1][0] and "User: q0" not in echo.prompts[-1][0]
-    rag.chat_loop(chat, read=lambda _: (_ for _ in ()).throw(EOFError), write=said.append)
+    rag.talk(chat, read=lambda _: (_ for _ in ()).throw(EOFError), write=said.append)
 
 
 def test_http_generator_reports_failure():
@@ -212,11 +213,13 @@ def test_config(tmp_path, monkeypatch):
 def test_pipeline_isolates_sources(spark, tmp_path, logs):
     c = tmp_path / "c.yaml"
     c.write_text(yaml.safe_dump({"sources": {"good": {"log_type": "windows_service", "location": str(logs)}, "bad": {"log_type": "windows_service", "location": str(tmp_path / "nowhere")}, "worse": {"location": "x"}}}))
-    outcomes = pipeline.run_all(spark, str(tmp_path / "t"), str(c), HashingEmbedder(32), str(tmp_path / "errors.log"))
-    assert {o.source_id: o.failed_step for o in outcomes} == {"bad": "bronze", "good": None, "worse": "config"}
-    assert pipeline.exit_code(outcomes) == 1 and pipeline.exit_code([o for o in outcomes if o.ok]) == 0 and pipeline.exit_code([]) == 1
-    assert "1/3 sources" in pipeline.summary(outcomes) and "step=bronze" in (tmp_path / "errors.log").read_text()
+    records = pipeline.run_all(spark, str(tmp_path / "t"), str(c), HashingEmbedder(32), str(tmp_path / "errors.log"))
+    assert {r.source_id: r.step for r in records if r.state == "failed"} == {"bad": "bronze", "worse": "config"}
+    assert [r.state for r in records] == ["done", "failed", *["skipped"] * 3, *["done"] * 5, "failed", *["skipped"] * 4]
+    assert pipeline.exit_code(records) == 1 and pipeline.exit_code([r for r in records if r.source_id == "good"]) == 0 and pipeline.exit_code([]) == 1
+    assert "stopped early: bad, worse" in pipeline.report(records) and "step=bronze" in (tmp_path / "errors.log").read_text()
     store = Store(spark, str(tmp_path / "t"))
+    assert store.read("pipeline_steps").count() == 15 and store.read("pipeline_steps").filter("state = 'done'").count() == 6
     assert store.read("pipeline_errors").count() == 2
     assert store.latest("bronze_runs", ["id"]).filter("source_id = 'bad'").first().status == "failed"
 

@@ -5,6 +5,8 @@ import random
 import re
 from datetime import datetime
 
+import hmac
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,8 +205,7 @@ def test_policy(spark, monkeypatch):
             privacy.Policy(bad)
     monkeypatch.setenv(privacy.KEY_VARIABLE, "very secret key")
     fields = {"User": "svc", "Country": None, "Account Id": "ACC", "Other": "keep"}
-    plain = privacy.apply_policy(fields, {"User": "hmac", "Country": "redact", "Account Id": "redact"})
-    assert plain["Country"] is None and plain["Account Id"] == "[REDACTED]" and plain["Other"] == "keep" and len(plain["User"]) == 64
+    plain = fields | {"User": hmac.new(b"very secret key", b"svc", "sha256").hexdigest(), "Account Id": "[REDACTED]"}
     policy = privacy.Policy({"User": "hmac", "Country": "redact", "Account Id": "redact"})
     df = spark.createDataFrame([(fields,), ({},)], "f map<string,string>").select(policy.fields(F.col("f")).alias("f"))
     assert [r.f for r in df.collect()] == [plain, {}]
