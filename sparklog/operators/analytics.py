@@ -81,7 +81,7 @@ def coverage(rows: DataFrame, covered: DataFrame, key: str, by: str) -> DataFram
 def freshness(entries: DataFrame, event_time: str, ingested: str, within_seconds: int) -> DataFrame:
     """One row: share of entries queryable within the time, and the 95th percentile of the lag in seconds."""
     lag = (F.unix_micros(F.col(ingested).cast("timestamp")) - F.unix_micros(F.col(event_time).cast("timestamp"))) / 1e6
-    return entries.agg(rate(lag <= within_seconds).alias("share_in_time"), F.percentile_approx(lag, 0.95, 10000).alias("p95_seconds"))
+    return entries.agg(rate(lag <= within_seconds).alias("share_in_time"), F.percentile_approx(lag, 0.95, 100000).alias("p95_seconds"))
 
 
 def success(runs: DataFrame, status: str = "status") -> DataFrame:

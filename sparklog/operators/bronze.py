@@ -13,7 +13,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparklog.functions import text
@@ -101,12 +101,14 @@ def ingest_files(store: Store, config: SourceConfig, files: DataFrame, result: I
             changed = state.filter("outcome = 'changed'").select("file_name", "file_path")
             texts = read_texts(files.join(changed, ["file_name", "file_path"], "left_semi")).withColumn("source_id", F.lit(config.source_id))
             texts = texts.withColumn("processed_log_id", hash_id(*FILE_KEY))
-            found = entries_of(texts.select("source_id", "processed_log_id", "text"), header)
-            totals = texts.agg(F.sum(F.size(text.split_entries(F.col("text"), header))).alias("n"), F.sum(text.preamble_lines(F.col("text"), header)).alias("p")).first()
+            # Texts are split once: lines before a header and entries are counted on the way.
+            seen, split = Observation(), Observation()
+            texts = texts.observe(seen, F.sum(text.preamble_lines(F.col("text"), header)).alias("n"))
+            found = entries_of(texts.select("source_id", "processed_log_id", "text"), header).observe(split, F.count(F.lit(1)).alias("n"))
             rows = found.withColumn("id", hash_id("processed_log_id", "entry_hash")).withColumn("landed_at_utc", F.current_timestamp())
             result.entries_landed = store.append_new("bronze_landing", rows, ["processed_log_id", "entry_hash"], ["position"], config.source_id)
-            result.entries_skipped_duplicate = (totals.n or 0) - result.entries_landed
-            result.preamble_lines = totals.p or 0
+            result.entries_skipped_duplicate = (split.get["n"] or 0) - result.entries_landed
+            result.preamble_lines = seen.get["n"] or 0
         now = F.current_timestamp()
         control = state.filter("outcome <> 'unchanged'").select(
             hash_id(*FILE_KEY).alias("id"), *FILE_KEY, F.lit(config.log_type).alias("log_type"), "file_hash",

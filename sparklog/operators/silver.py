@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparklog.functions.clock import check_zone
@@ -44,12 +44,15 @@ def transform_to_silver(store: Store, config: SourceConfig) -> TransformResult:
     natural = ["source_id", "entry_hash"] if config.dedup == "entry_hash" else ["source_id", "bronze_landing_id"]
     rows = rows.withColumnRenamed("id", "bronze_landing_id").withColumn("id", hash_id(*natural)).withColumn("log_type", F.lit(config.log_type))
     rows = rows.withColumn("parser_version", F.lit(parser.version)).withColumn("source_timezone", F.lit(config.timezone)).withColumn("ingested_at_utc", F.current_timestamp())
-    counted = rows.agg(F.count("*").alias("n"), F.count(F.when(~F.col("parsed"), 1)).alias("odd")).first()
-    result = TransformResult(config.source_id, entries_read=counted.n, entries_unparsed=counted.odd)
-    if counted.n:
+    # Entries are parsed once: they are counted as they are written.
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("parsed"), 1)).alias("odd"))
+    result = TransformResult(config.source_id)
+    if not waiting.isEmpty():
         taken = waiting.select(F.col("id").alias("landing_id"), "source_id")
         columns = [f.name for f in store.read("silver_log_entries").schema.fields]
         result.entries_written = store.append_new("silver_log_entries", rows.select(*columns), key, ["bronze_landing_id"], config.source_id)
+        result.entries_read, result.entries_unparsed = seen.get["n"], seen.get["odd"]
         store.append("silver_digested", taken)  # after silver: a run that dies before it is repeated without harm
     result.entries_skipped_duplicate = result.entries_read - result.entries_written
     mark_completed(store, config.source_id)

@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 from sparklog.functions import clock, privacy, text, vectors
 from sparklog.operators import analytics, retrieval
-from sparklog.operators.bronze import entries_of
-from sparklog.operators.embed import HashingEmbedder, embed_texts
-from sparklog.operators.gold import segment_exceptions
+from sparklog.operators.bronze import FILE_KEY, archive, entries_of, ingest_to_bronze
+from sparklog.operators.embed import HashingEmbedder, embed_segments, embed_texts
+from sparklog.operators.gold import segment_exceptions, transform_to_gold
 from sparklog.operators.parsers import get_parser
 from sparklog.operators.parsers.windows_service import may_hold_exception
-from sparklog.operators.silver import parse_entries
+from sparklog.operators.silver import parse_entries, transform_to_silver
 from sparklog.plans import rag
-from sparklog.session import pin_utc, spread
+from sparklog.session import new_dir, pin_utc, spread
 from sparklog.sources import synth
 from sparklog.sources.config import SourceConfig
-from sparklog.sources.tables import first_of, latest_by
+from sparklog.sources.tables import Store, first_of, latest_by
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,23 +264,17 @@ def retrieve_distinct(spark, d):
     return retrieval.rank_distinct(rows, query_vector(spark, d), 5, "label", "at").select("label", F.round("distance", 6).alias("distance"), "occurrences")
 
 
-@query(f"SELECT e.vec_id, v.event_type, round({_NEAR}, 6) AS distance FROM embeddings e JOIN events v ON v.event_id = e.vec_id, embeddings q WHERE q.vec_id = 0 AND v.event_type = 'error' AND v.ts >= TIMESTAMP '2024-01-03' AND v.ts <= TIMESTAMP '2024-01-25' ORDER BY {_NEAR}, e.vec_id LIMIT 10")
+@query(f"SELECT e.vec_id, v.event_type, round({_NEAR}, 6) AS distance FROM embeddings e JOIN events v ON v.event_id = e.vec_id, embeddings q WHERE q.vec_id = 0 AND v.event_type = 'error' AND v.ts >= TIMESTAMP '2024-01-01 06:00:00' AND v.ts <= TIMESTAMP '2024-01-25' ORDER BY {_NEAR}, e.vec_id LIMIT 10")
 def retrieve_filtered(spark, d):
     about = table(spark, d, "events").select("event_id", F.col("event_type").alias("severity"), F.col("ts").cast("timestamp").alias("ts"))
-    about = retrieval.filtered(about, severity="error", from_utc="2024-01-03", to_utc="2024-01-25T00:00:00+00:00", time="ts")
+    about = retrieval.filtered(about, severity="error", from_utc="2024-01-01T06:00:00", to_utc="2024-01-25T00:00:00+00:00", time="ts")
     rows = table(spark, d, "embeddings").select("vec_id", "embedding").join(about, F.col("vec_id") == F.col("event_id"))
     return retrieval.rank_occurrences(rows, query_vector(spark, d), 10, ["vec_id"]).select("vec_id", F.col("severity").alias("event_type"), F.round("distance", 6).alias("distance"))
 
 
-@query(f"SELECT query_id, row_id, CAST(r AS INTEGER) AS rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id AS row_id, {_NEAR} AS distance FROM embeddings e, embeddings q WHERE q.vec_id < 5)) WHERE r <= 3")
+@query(f"SELECT query_id, row_id, CAST(r AS INTEGER) AS rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id AS row_id, {_NEAR} AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE r <= 3")
 def batch_retrieve(spark, d):
-    rows = table(spark, d, "embeddings")
-    return retrieval.batch_retrieve(rows.filter("vec_id < 5"), rows, 3, "vec_id", "vec_id").select("query_id", "row_id", "rank", F.round("distance", 6).alias("distance"))
-
-
-@query()
-def batch_retrieve_hundredths(spark, d):
-    """The whole query set: every row whose id is divisible by 100 asks all rows. ``batch_retrieve`` asks the five ids of its SQL."""
+    """Every row whose id is divisible by 100 asks all rows."""
     rows = table(spark, d, "embeddings")
     return retrieval.batch_retrieve(rows.filter("vec_id % 100 = 0"), rows, 3, "vec_id", "vec_id").select("query_id", "row_id", "rank", F.round("distance", 6).alias("distance"))
 
@@ -343,9 +337,9 @@ def dq_parse_failure_rate(spark, d):
     return analytics.parse_failures(parse_entries(web.unionByName(docs), APACHE))
 
 
-@query("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-29' - INTERVAL 24 HOUR")
+@query("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR")
 def dq_silent_sources(spark, d):
-    return analytics.silent_sources(table(spark, d, "events"), "user_id", "ts", F.lit("2024-01-29").cast("timestamp_ntz"), 24)
+    return analytics.silent_sources(table(spark, d, "events"), "user_id", "ts", F.lit("2024-01-31").cast("timestamp_ntz"), 24)
 
 
 @query("SELECT d.lang, count(*) AS rows, count(l.doc_id) AS covered, count(l.doc_id) / count(*) AS coverage FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY 1")
@@ -358,12 +352,60 @@ def dq_success_rate(spark, d):
     return analytics.success(table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status")))
 
 
-@query()
+@query("WITH l AS (SELECT CAST(event_id % 1800 AS DOUBLE) AS lag FROM events), o AS (SELECT lag, row_number() OVER (ORDER BY lag) AS r, count(*) OVER () AS n FROM l) SELECT (SELECT count(*) FILTER (lag <= 900) / count(*) FROM l) AS share_in_time, min(lag) FILTER (r >= 0.95 * n) AS p95_seconds FROM o")
 def dq_freshness(spark, d):
     rows = table(spark, d, "events").select("ts", (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id") % 1800)).alias("ingested"))
     return analytics.freshness(rows, "ts", "ingested", 900)
 
 
+_ENTRIES = "r AS (SELECT DISTINCT t, event_type, user_id, printf('%.2f', value) AS amount, k FROM (SELECT *, date_trunc('second', ts) AS t, " + _K + " AS k FROM events))"
+_RUN = {
+    "bronze landed": "SELECT count(*) FROM r",
+    "bronze repeats": "SELECT (SELECT count(*) FROM events) - (SELECT count(*) FROM r)",
+    "bronze files": "SELECT count(DISTINCT CAST(t AS DATE)) FROM r",
+    "again unchanged": "SELECT count(DISTINCT CAST(t AS DATE)) FROM r",
+    "again landed": "SELECT 0",
+    "silver written": "SELECT count(*) FROM r",
+    "silver again": "SELECT 0",
+    "silver exceptions": "SELECT count(*) FROM r WHERE event_type = 'error'",
+    "gold exceptions": "SELECT count(*) FROM r WHERE event_type = 'error'",
+    "gold segments": "SELECT count(*) FROM r JOIN fam ON fam.f = r.k % 4 WHERE event_type = 'error'",
+    "gold again": "SELECT 0",
+    "embedded": "SELECT count(*) FROM r JOIN fam ON fam.f = r.k % 4 WHERE event_type = 'error'",
+    "files completed": "SELECT count(DISTINCT CAST(t AS DATE)) FROM r",
+    "archived": "SELECT count(*) FROM r",
+    "left in landing": "SELECT 0",
+    "runs completed": "SELECT 2",
+}
+
+
+@query(f"WITH fam(f, idx, sig) AS (VALUES {_FAM}), {_ENTRIES} " + " UNION ALL ".join(f"SELECT '{what}' AS measure, CAST(({sql}) AS BIGINT) AS n" for what, sql in _RUN.items()))
+def layers_run(spark, d):
+    """The layers over log files (one a day), twice: what each step counted, and what the tables hold."""
+    root = new_dir(spark, "layers")
+    by_day = windows(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "raw_entry"))).alias("e"))
+    files = by_day.select(F.concat(F.lit("log-"), F.date_format("day", "MM-dd-yyyy"), F.lit(".log")).alias("file_name"), F.concat(F.array_join(F.transform("e", lambda x: x["raw_entry"]), "\n"), F.lit("\n")).alias("text"))
+    synth.write_files(files, f"{root}/logs")
+    store, config = Store(spark, f"{root}/tables"), SourceConfig("events", "windows_service", location=f"{root}/logs")
+    first, silver, gold, vectors_made = ingest_to_bronze(store, config), transform_to_silver(store, config), transform_to_gold(store, config), embed_segments(store, config)
+    again, silver_again, gold_again = ingest_to_bronze(store, config), transform_to_silver(store, config), transform_to_gold(store, config)
+    known = {
+        "bronze landed": first.entries_landed, "bronze repeats": first.entries_skipped_duplicate, "bronze files": first.files_processed,
+        "again unchanged": again.files_skipped_unchanged, "again landed": again.entries_landed, "silver written": silver.entries_written,
+        "silver again": silver_again.entries_read, "gold exceptions": gold.exceptions_processed, "gold segments": gold.segments_written,
+        "gold again": gold_again.exceptions_processed, "embedded": vectors_made.segments_embedded, "archived": archive(store, "events"),
+    }
+    counted = {
+        "silver exceptions": store.read("silver_log_entries", "events").filter("is_exception"), "left in landing": store.read("bronze_landing", "events"),
+        "files completed": store.latest("bronze_processed_logs", FILE_KEY).filter("status = 'completed'"),
+        "runs completed": store.latest("bronze_runs", ["id"]).filter("status = 'completed'"),
+    }
+    out = spark.createDataFrame(sorted(known.items()), "measure string, n long")
+    for what, rows in counted.items():
+        out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("measure"), "n"))
+    return out
+
+
 @query(f"WITH {_SIGNED} SELECT sig AS segment_text, count(*) AS occurrences FROM s GROUP BY sig ORDER BY 2 DESC, 1 LIMIT 3")
 def topk_signatures(spark, d):
     return segments(spark, d).groupBy("segment_text").agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "segment_text").limit(3)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparklog.schemas import PARTITIONED, TABLES
@@ -48,18 +48,19 @@ class Store:
             df = self.spark.createDataFrame([], TABLES[table])
         return df if source_id is None else df.filter(F.col("source_id") == source_id)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table].fields))
+    def append(self, table: str, df: DataFrame) -> int:
+        """Append rows. Returns how many, counted as they are written."""
+        written = Observation()
+        rows = df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table].fields)).observe(written, F.count(F.lit(1)).alias("n"))
         writer = rows.write.mode("append")
         (writer.partitionBy("source_id") if table in PARTITIONED else writer).parquet(self.path(table))
+        return written.get.get("n", 0)
 
     def append_new(self, table: str, df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), source_id: str | None = None) -> int:
         """Append the rows whose key is not stored yet, the first by ``order`` of each key. Returns how many."""
         known = self.read(table, source_id).select(*keys)
         fresh = first_of(df, keys, order).join(known, list(keys), "left_anti")
-        before = self.read(table, source_id).count()
-        self.append(table, fresh)
-        return self.read(table, source_id).count() - before
+        return self.append(table, fresh)
 
     def latest(self, table: str, keys: Sequence[str]) -> DataFrame:
         return latest_by(self.read(table), keys, "version")
@@ -68,16 +69,30 @@ class Store:
         """Replace what a source has in a partitioned table (by nothing, if ``df`` is None)."""
         if table not in PARTITIONED:
             raise ValueError(f"{table} is not laid out by source")
-        folder = f"{self.path(table)}/source_id={source_id}"
-        fs, path = self._fs(folder)
-        if df is None:
-            fs.delete(path, True)
-            return
-        draft = f"{self.root}/_draft_{table}_{source_id}"  # never read and overwrite one path in one plan
+        self._place(table, source_id, None if df is None else self._draft(table, source_id, df))
+
+    def _draft(self, table: str, source_id: str, df: DataFrame) -> str:
+        """Rows written beside a table: never read and overwrite one path in one plan."""
+        draft = f"{self.root}/_draft_{table}_{source_id}"
         df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table].fields if f.name != "source_id")).write.mode("overwrite").parquet(draft)
+        return draft
+
+    def _place(self, table: str, source_id: str, draft: str | None) -> None:
+        fs, path = self._fs(f"{self.path(table)}/source_id={source_id}")
         fs.delete(path, True)
-        fs.mkdirs(path.getParent())
-        fs.rename(self._fs(draft)[1], path)
+        if draft is not None:
+            fs.mkdirs(path.getParent())
+            fs.rename(self._fs(draft)[1], path)
+
+    def delete_segments(self, segment_ids: DataFrame, source_id: str) -> None:
+        """Delete segments (``id``) with their vectors."""
+        gone = segment_ids.select("id")
+        vectors = self.read("gold_embeddings", source_id).join(gone.withColumnRenamed("id", "segment_id"), "segment_id", "left_anti")
+        kept = self.read("gold_exception_segments", source_id).join(gone, "id", "left_anti")
+        # Both are written before either is put in place: the ids may be read from these tables.
+        drafts = [(t, self._draft(t, source_id, rows)) for t, rows in (("gold_embeddings", vectors), ("gold_exception_segments", kept))]
+        for table, draft in drafts:
+            self._place(table, source_id, draft)
 
     def delete_cascade(self, processed_log_ids: DataFrame, source_id: str) -> None:
         """Delete files' control rows by key with the entries that hang on them."""

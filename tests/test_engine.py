@@ -127,6 +127,50 @@ def test_cascade(store, logs):
     assert store.read("bronze_landing").count() == 0 and store.read("bronze_processed_logs").count() == 0
 
 
+def test_delete_segments_with_vectors(store, logs):
+    run(store, config(logs))
+    one = store.read("gold_exception_segments").filter("segment_type = 'signature'").select("id")
+    store.delete_segments(one, "s1")
+    left = store.read("gold_exception_segments").collect()
+    assert [r.segment_type for r in left] == ["inner_signature"]
+    assert [r.segment_id for r in store.read("gold_embeddings").collect()] == [left[0].id]
+
+
+class Stub:
+    """Stands in for a sentence model: pinned, and called once per distinct text."""
+
+    model, version, dim = "stub", "stub/1", 3
+
+    def encode(self, texts):
+        import numpy as np
+
+        return np.array([[len(t), 1, 0] for t in texts], np.float32)
+
+
+def test_vectors_of_two_models_live_side_by_side(store, logs):
+    c = config(logs)
+    run(store, c)
+    assert embed_segments(store, c, Stub()).segments_embedded == 2 and embed_segments(store, c, Stub()).segments_embedded == 0
+    stored = store.read("gold_embeddings").filter("embedding_model = 'stub'").collect()
+    texts = {r.id: r.segment_text for r in store.read("gold_exception_segments").collect()}
+    assert {r.segment_id: r.embedding for r in stored} == {i: [float(len(t)), 1.0, 0.0] for i, t in texts.items()}
+    assert retrieval.retrieve(store, "x", embedder=Stub(), distinct=False).count() == 2
+
+
+def test_approximate_retrieval_recalls(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(40, 16)), 25, axis=0) + 0.15 * r.normal(size=(1000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 1000, 200):
+        want = set(np.argsort(-(unit @ unit[i]), kind="stable")[:10].tolist())
+        hits += len(want & {q.vec_id for q in retrieval.approximate(rows, x[i].tolist(), 10, "vec_id").collect()})
+    assert hits >= 0.9 * 50
+
+
 @pytest.fixture
 def filled(store, spark):
     """Three signatures over two sources and types, one without a time, one vector of another version, one zero vector."""

@@ -60,5 +60,5 @@ def test_batch_retrieve_asks_every_hundredth_row(spark, tmp_path):
     spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
     want = {(int(i), int(ids[j]), k + 1) for i, u in zip(ids, unit) if i % 100 == 0 for k, j in enumerate(np.argsort(1 - unit @ u)[:3])}
-    got = {(x.query_id, x.row_id, x.rank) for x in catalogue.QUERIES["batch_retrieve_hundredths"](spark, str(tmp_path)).collect()}
+    got = {(x.query_id, x.row_id, x.rank) for x in catalogue.QUERIES["batch_retrieve"](spark, str(tmp_path)).collect()}
     assert len(want) == 900 and got == want
