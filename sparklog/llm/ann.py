@@ -2,14 +2,18 @@
 
 Vectors are lifted by one component to one common norm, so that the largest inner
 product is the least Euclidean distance. Lifted vectors are projected on ``M`` Gaussian
-(2-stable) directions and a kd-tree is built over the projections of each shard. A query
-takes the tree's leaves in order of projected distance and verifies their vectors by
+(2-stable) directions. The upper part of a kd-tree over the projections, fitted on a
+bounded sample, deals all rows to cells; each cell has a tree of its own. A query
+takes a cell's leaves in order of projected distance and verifies their vectors by
 their true inner product. The squared projected distance of a vector at distance d is
 d^2 times a chi-square variable of M degrees of freedom; so once the next leaf lies at a
 projected distance whose chi-square probability against the k-th best distance reaches
 ``CERTAINTY``, a nearer vector would have been met with that probability, and it stops.
 
-Every row is indexed. Queries go to all shards in blocks; each shard returns its k best.
+Every row is indexed, once: rows of equal vectors as one entry with their k+1 least ids. A
+query asks the cell it lies in first; with the k-th distance found there, the same test
+says which other cells it must ask. A task holds one cell and streams its queries through
+it, so neither rows nor queries are copied for one another; a cell gets the queries that need it.
 """
 
 from __future__ import annotations
@@ -28,7 +32,10 @@ from sparklog.llm.kernels import ragged
 M = 8
 CERTAINTY = 0.97
 LEAF = 64
-SHARD_ROWS, BLOCK_ROWS = 1 << 17, 1 << 13
+#: Rows of a cell on average (fewer, if there would not be work for all tasks), and at least.
+CELL_ROWS, LEAST_ROWS = 1 << 16, 1 << 13
+#: The upper tree is fitted on so many rows at most, and so many bytes of them.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 32 << 20
 SEED = 17
 
 
@@ -74,44 +81,114 @@ class Tree:
         return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, top: float, m: int = M, certainty: float = CERTAINTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k nearest of ``x`` by inner product, as found: query ids, ids, scores.
+class Upper:
+    """The upper part of the kd-tree: halves of a sample by median until there are about ``cells``; its cells cover all space."""
 
-    top: the largest squared norm of all vectors. Equal vectors are indexed once, with their k+1 least ids."""
-    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0]
-    _, first, group = np.unique(raw, return_index=True, return_inverse=True)
-    pair = np.unique(np.stack([group.reshape(-1), ids], axis=1), axis=0)  # repeated rows count once
-    member_ids, sizes = pair[:, 1], np.bincount(pair[:, 0])
-    heads = np.cumsum(sizes) - sizes
-    own = x[first]
-    norm = (own * own).sum(axis=1)
-    lifted = np.hstack([own, np.sqrt(np.maximum(top - norm, 0))[:, None]])
-    axes = np.random.default_rng(SEED).normal(size=(x.shape[1] + 1, m))
-    tree = Tree(lifted @ axes)
-    point = chi_square_point(certainty, m)
-    leaves = [tree.order[a:b] for a, b in zip(tree.cuts[:-1], tree.cuts[1:])]
-    widest = max(map(len, leaves), default=0)
-    found: list[list[np.ndarray]] = [[], [], []]
-    for a in range(0, len(q), 256):
-        qs = q[a : a + 256]
-        bound = tree.bounds(qs @ axes[:-1])
+    def __init__(self, points: np.ndarray, cells: int):
+        self.axis, self.cut, self.child = [], [], []  # of inner nodes; a child below 0 is cell -1 - child
+        self.low, self.high = [], []
+        depth = max(0, cells - 1).bit_length()
+        m = points.shape[1]
+        self.root = self._grow(points, depth, np.full(m, -np.inf), np.full(m, np.inf))
+        self.low, self.high = np.array(self.low), np.array(self.high)
+
+    def _grow(self, points: np.ndarray, depth: int, low: np.ndarray, high: np.ndarray) -> int:
+        spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(len(low))
+        axis = int(spread.argmax())
+        if not depth or not spread[axis] > 0:
+            self.low.append(low)
+            self.high.append(high)
+            return -len(self.low)
+        cut = float(np.median(points[:, axis]))
+        if not (points[:, axis] < cut).any():  # most are the least value
+            cut = float(points[points[:, axis] > cut, axis].min())
+        node = len(self.axis)
+        self.axis.append(axis)
+        self.cut.append(cut)
+        self.child.append((0, 0))
+        below, above = high.copy(), low.copy()
+        below[axis], above[axis] = cut, cut
+        left = points[:, axis] < cut
+        self.child[node] = self._grow(points[left], depth - 1, low, below), self._grow(points[~left], depth - 1, above, high)
+        return node
+
+    def cell(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point, by descending the tree."""
+        at = np.full(len(points), self.root)
+        axis, cut, child = np.array(self.axis, np.int64), np.array(self.cut), np.array(self.child, np.int64).reshape(-1, 2)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            at[inner] = child[node, (points[inner, axis[node]] >= cut[node]).astype(np.int64)]
+        return -1 - at
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each point to each cell."""
+        out = np.zeros((len(q), len(self.low)))
+        for j in range(q.shape[1]):
+            gap = np.maximum(np.maximum(self.low[:, j] - q[:, j, None], q[:, j, None] - self.high[:, j]), 0)
+            out += gap * gap
+        return out
+
+
+def axes_of(dim: int, m: int = M) -> np.ndarray:
+    return np.random.default_rng(SEED).normal(size=(dim + 1, m))
+
+
+def lifted(x: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with one more component, all of squared norm ``top`` (the largest of all vectors)."""
+    return np.hstack([x, np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))[:, None]])
+
+
+class Cell:
+    """Distinct vectors with the ids that have them (one after another in ``member``, ``sizes`` of each), and a kd-tree over their projections."""
+
+    def __init__(self, x: np.ndarray, member: np.ndarray, sizes: np.ndarray, top: float, m: int = M, certainty: float = CERTAINTY):
+        self.x, self.member, self.sizes, self.top = x, member, sizes, top
+        self.heads = np.cumsum(sizes) - sizes
+        self.axes = axes_of(x.shape[1], m)
+        self.tree = Tree(lifted(x, top) @ self.axes)
+        self.point = chi_square_point(certainty, m)
+        self.leaves = [self.tree.order[a:b] for a, b in zip(self.tree.cuts[:-1], self.tree.cuts[1:])]
+        self.visited = 0
+
+    def ask(self, q_ids: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query its k nearest by inner product, as found: query ids, ids, scores. bar: a score that its
+        k-th best elsewhere has (less is of no use)."""
+        found: list[list[np.ndarray]] = [[], [], []]
+        bar = np.full(len(q), -np.inf) if bar is None else bar
+        for a in range(0, len(q), 256):
+            for out, got in zip(found, self._some(q_ids[a : a + 256], q[a : a + 256], k, bar[a : a + 256])):
+                out += got
+        return tuple(np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, (np.int64, np.int64, np.float64)))
+
+    def _some(self, q_ids: np.ndarray, qs: np.ndarray, k: int, bar: np.ndarray) -> tuple[list, list, list]:
+        bound = self.tree.bounds(qs @ self.axes[:-1])
         near = np.argsort(bound, axis=1, kind="stable")
         bound = np.take_along_axis(bound, near, axis=1)
         q_norm = (qs * qs).sum(axis=1)
         best = np.full((len(qs), k + 1), -np.inf)
         best_at = np.full((len(qs), k + 1), -1, np.int64)
-        active, at, step = np.arange(len(qs)), 0, 4
-        while len(active) and at < len(leaves):
-            upto = min(at + step, len(leaves))
+        widest = max(map(len, self.leaves), default=0)
+
+        def open_at(rows: np.ndarray, at: int) -> np.ndarray:
+            worst = np.maximum(best[rows].min(axis=1), bar[rows])  # of k+1, one of which may be the query's own row
+            distance = np.where(np.isfinite(worst), np.maximum(q_norm[rows] + self.top - 2 * worst, 0), np.inf)
+            return rows[bound[rows, at] < self.point * distance]
+
+        at, step = 0, 4
+        active = open_at(np.arange(len(qs)), 0) if self.leaves else np.zeros(0, np.int64)
+        while len(active):
+            upto = min(at + step, len(self.leaves))
             width = upto - at
+            self.visited += width * len(active)
             score = np.full((len(active), width * widest), -np.inf)
             place = np.full((len(active), width * widest), -1, np.int64)
             turn = near[active, at:upto]
             for leaf in np.unique(turn):
                 r, slot = np.nonzero(turn == leaf)
-                own_rows = leaves[leaf]
+                own_rows = self.leaves[leaf]
                 cols = slot[:, None] * widest + np.arange(len(own_rows))
-                score[r[:, None], cols] = qs[active[r]] @ own[own_rows].T
+                score[r[:, None], cols] = qs[active[r]] @ self.x[own_rows].T
                 place[r[:, None], cols] = own_rows
             score = np.hstack([best[active], score])
             place = np.hstack([best_at[active], place])
@@ -119,23 +196,29 @@ def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k:
             best[active] = np.take_along_axis(score, pick, axis=1)
             best_at[active] = np.take_along_axis(place, pick, axis=1)
             at, step = upto, step * 2
-            if at < len(leaves):
-                worst = best[active].min(axis=1)  # of k+1, one of which may be the query's own row
-                distance = np.where(np.isfinite(worst), np.maximum(q_norm[active] + top - 2 * worst, 0), np.inf)
-                active = active[bound[active, at] < point * distance]
+            active = open_at(active, at) if at < len(self.leaves) else active[:0]
+        out: tuple[list, list, list] = ([], [], [])
         for i in range(len(qs)):
             got = best_at[i][best_at[i] >= 0]
-            exact = np.add.reduce(own[got] * qs[i], axis=1)  # in one order for every row, so equal vectors tie
-            n = np.minimum(sizes[got], k + 1)
-            member = member_ids[ragged(heads[got], n)]
+            exact = np.add.reduce(self.x[got] * qs[i], axis=1)  # in one order for every row, so equal vectors tie
+            n = np.minimum(self.sizes[got], k + 1)
+            member = self.member[ragged(self.heads[got], n)]
             s = np.repeat(exact, n)
-            keep = member != q_ids[a + i]
+            keep = (member != q_ids[i]) & (s >= bar[i])
             member, s = member[keep], s[keep]
             rank = np.lexsort((member, -s))[:k]
-            found[0].append(np.full(len(rank), q_ids[a + i]))
-            found[1].append(member[rank])
-            found[2].append(s[rank])
-    return tuple(np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, (np.int64, np.int64, np.float64)))
+            out[0].append(np.full(len(rank), q_ids[i]))
+            out[1].append(member[rank])
+            out[2].append(s[rank])
+        return out
+
+
+def cell_of(ids: np.ndarray, x: np.ndarray, top: float, **how) -> Cell:
+    """A cell over rows, equal vectors as one."""
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0]
+    _, first, group = np.unique(raw, return_index=True, return_inverse=True)
+    pair = np.unique(np.stack([group.reshape(-1), ids], axis=1), axis=0)  # repeated rows count once
+    return Cell(x[first], pair[:, 1], np.bincount(pair[:, 0]), top, **how)
 
 
 def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -158,25 +241,83 @@ def nearest(rows: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec
     sizes = usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q"), F.max(square).alias("top")).orderBy(F.desc("n"), "dim").first()
     if sizes is None or not sizes.q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n, n_q, top, dim = sizes.n, sizes.q, sizes.top, sizes.dim
-    shards = max(-(-n // SHARD_ROWS), min(runtime.partitions(spark), -(-n // 8192)))
-    blocks = -(-n_q // BLOCK_ROWS)
+    n, top, dim = sizes.n, sizes.top, sizes.dim
     usable = usable.filter(F.size("v") == dim)
-    part = lambda k, of: F.pmod(F.xxhash64("vec_id", F.lit(k)), F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    indexed = usable.select(part(1, shards).alias("shard"), every(blocks).alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = usable.filter(is_query).select(every(shards).alias("shard"), part(2, blocks).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    upper = _upper(usable, n, dim, top)
+    axes, point = axes_of(dim), chi_square_point(CERTAINTY, M)
+    # Equal vectors are one entry with their k+1 least ids; a limit by rank goes before the shuffle.
+    least = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    entries = usable.withColumn("_rank", least).filter(F.col("_rank") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = upper.cell(lifted(_matrix(batch.column(0), dim), top) @ axes)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), batch.column(1), batch.column(0), pa.nulls(batch.num_rows, pa.float64())], names=["cell", "ids", "v", "bar"])
 
-    def cell(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        ids = t.column("vec_id").to_numpy()
-        v = t.column("v").combine_chunks()
-        v = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        q_ids, once = np.unique(ids[asks], return_index=True)  # a repeated query id asks once
-        got = search(ids[~asks], v[~asks], q_ids, v[asks][once], k, top) if asks.any() and not asks.all() else ([], [], [])
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(got, schema)], schema=schema)
+    columns = "cell int, ids array<long>, v array<double>, bar double"
+    indexed = runtime.cut(entries.select("v", "ids").mapInArrow(placed, columns), "indexed")
+    asked = usable.filter(is_query).distinct()
+    first = asked.select("v", F.array("vec_id").alias("ids")).mapInArrow(placed, columns).withColumn("bar", F.lit(float("-inf")))
+    found = _answers(indexed, first, dim, top, k)
+    if len(upper.low) > 1:
+        found = runtime.cut(found, "found")
+        bars = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        bars = asked.join(bars.hint("merge"), F.col("vec_id") == F.col("query_id"), "left").select("v", F.array("vec_id").alias("ids"), F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("bar"))
 
-    found = indexed.unionByName(asked).groupBy("shard", "block").applyInArrow(cell, "query_id long, vec_id long, score double")
+        def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q, bar = _matrix(batch.column(0), dim), batch.column(2).to_numpy()
+                distance = np.where(np.isfinite(bar), np.maximum((q * q).sum(axis=1) + top - 2 * bar, 0), np.inf)
+                # The query's own lift is 0 here, as in its search; the cell it asked first is that of the lifted point.
+                need = upper.bounds(q @ axes[:-1]) < point * distance[:, None]
+                need[np.arange(len(q)), upper.cell(lifted(q, top) @ axes)] = False
+                row, cells = np.nonzero(need)
+                for at in range(0, len(row), 1000):
+                    r = pa.array(row[at : at + 1000])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[at : at + 1000].astype(np.int32)), batch.column(1).take(r), batch.column(0).take(r), batch.column(2).take(r)], names=["cell", "ids", "v", "bar"])
+
+        found = found.unionByName(_answers(indexed, bars.mapInArrow(elsewhere, columns), dim, top, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _upper(usable: DataFrame, n: int, dim: int, top: float) -> Upper:
+    cells = max(-(-n // CELL_ROWS), min(runtime.partitions(usable.sparkSession), n // LEAST_ROWS), 1)
+    rows = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)) if cells > 1 else 0
+    sample = [r.v for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("v").collect()] if rows else []
+    return Upper(lifted(np.array(sample, float).reshape(-1, dim), top) @ axes_of(dim), cells)
+
+
+def _answers(indexed: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` of the k best that each asked cell finds: in a task, cells one by one, and each cell's queries in batches."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        number, cell = -1, None
+        for batch in batches:
+            own, asks = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (asks[1:] != asks[:-1])))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)]):
+                part = batch.slice(a, b - a)
+                if own[a] != number:
+                    number, cell = own[a], None
+                    held.clear()
+                if not asks[a]:
+                    held.append(part)
+                    continue
+                if cell is None and held:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    held.clear()
+                    ids = t.column("ids").combine_chunks()
+                    cell = Cell(_matrix(t.column("v").combine_chunks(), dim), ids.flatten().to_numpy(), np.diff(np.array(ids.offsets)), top)
+                if cell is not None:
+                    got = cell.ask(part.column(1).flatten().to_numpy(), _matrix(part.column(2), dim), k, part.column(3).to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(got, schema)], schema=schema)
+
+    both = indexed.unionByName(asked).repartition(runtime.partitions(indexed.sparkSession), "cell")
+    return both.sortWithinPartitions("cell", F.col("bar").isNotNull()).mapInArrow(run, "query_id long, vec_id long, score double")

@@ -7,31 +7,13 @@ which every executor can read, so a lost executor costs a retry and nothing else
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklog.session import spread
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on this machine (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = getattr(spark, "_sparklog_shared", None) or "file://" + tempfile.mkdtemp(prefix="sparklog-")
-        spark._sparklog_shared = found
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from sparklog.session import new_dir, spread
 
 
 def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:

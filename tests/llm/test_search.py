@@ -39,7 +39,8 @@ def test_neighbours_clustered_and_uneven_norms():
     ids = r.permutation(4800) * 3
     q = ids[:200]
     got = {}
-    for a, b, _ in zip(*ann.search(ids, x, q, x[:200], 20, float((x * x).sum(axis=1).max()))):
+    cell = ann.cell_of(ids, x, float((x * x).sum(axis=1).max()))
+    for a, b, _ in zip(*cell.ask(q, x[:200], 20)):
         got.setdefault(int(a), []).append(int(b))
     want = brute(ids, x, q, 20)
     assert np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want]) >= 0.9
@@ -58,6 +59,47 @@ def test_neighbours_ties_and_odd_vectors(spark):
     assert [(r.rank, r.vec_id) for r in sorted(few)] == [(1, 3), (2, 67)]
 
 
+def test_neighbours_over_cells(spark, monkeypatch):
+    """Many cells: all queries against brute force, whatever cells their neighbours lie in; a third of all rows have one vector."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 200)
+    r = np.random.default_rng(3)
+    x = np.vstack([c + 0.3 * r.normal(size=(150, 12)) for c in r.normal(size=(20, 12))]) * r.uniform(0.5, 2, (3000, 1))
+    x[::3] = x[0]
+    ids = r.permutation(3000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.nearest(df, ann.F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    want = brute(ids, x, ids[ids % 20 == 0], 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want]) >= 0.95
+
+
+def test_upper_tree_covers_all_points():
+    r = np.random.default_rng(0)
+    upper = ann.Upper(r.normal(size=(500, 4)), 16)
+    p = 3 * r.normal(size=(2000, 4))
+    cell, bound = upper.cell(p), upper.bounds(p)
+    assert len(upper.low) == 16 and (bound[np.arange(2000), cell] == 0).all() and ((bound == 0).sum(axis=1) == 1).all()
+    assert len(ann.Upper(np.ones((50, 4)), 16).low) == 1
+
+
+def test_recall_and_leaves_visited_at_twenty_thousand_rows():
+    """Clustered vectors of 64 components: the test ends searches early and loses little. Unclustered ones it cannot end early."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(200, 64))
+    x = np.repeat(centres, 100, axis=0) + 0.3 * r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, asked = np.arange(20_000), np.arange(0, 20_000, 100)
+    cell = ann.cell_of(ids, x, 1.0)
+    got = {}
+    for a, b, _ in zip(*cell.ask(asked, x[asked], 20)):
+        got.setdefault(int(a), []).append(int(b))
+    want = brute(ids, x, asked, 20)
+    assert np.mean([len(set(got[int(i)]) & set(want[int(i)])) / 20 for i in asked]) >= 0.95
+    assert cell.visited < 0.5 * len(asked) * len(cell.leaves)
+
+
 def test_chi_square_point():
     assert ann.chi_square_point(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
 
