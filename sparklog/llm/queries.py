@@ -64,8 +64,7 @@ def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chat.ordered(chat.conversations(table(spark, sf_dir, "conversations")))
-    return found.select("conv_id", "turn", "role", "body", "answers", "n_quotes", "n_linked", "position")
+    return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:

@@ -67,7 +67,7 @@ def plain(messages):
 
 
 def got(df):
-    rows = chat.ordered(chat.conversations(df)).collect()
+    rows = chat.conversations(df).collect()
     found = {(r.conv_id, r.turn): (r.body, r.answers, r.n_quotes, r.n_linked, r.position) for r in rows}
     assert len(found) == len(rows)
     return found
@@ -102,11 +102,30 @@ def test_long_conversation(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")) == plain(rows)
 
 
+def test_deep_thread_and_wide_star(spark, monkeypatch):
+    """Each message quotes the one before (a chain), and all quote the first (a star): positions are turns, and no row grows."""
+    monkeypatch.setattr(chat, "SPAN", 64)
+    rows = [(1, t, "user", (f"> note {t - 1}\n" if t else "") + f"note {t}") for t in range(600)]
+    rows += [(2, t, "user", ("> opening words\n" if t else "") + f"{'opening words' if not t else f'reply {t}'}") for t in range(600)]
+    found = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == 1200 and all(r.position == r.turn for r in found)
+    assert all(r.answers == (None if not r.turn else r.turn - 1 if r.conv_id == 1 else 0) for r in found)
+
+
+def test_attributions_and_long_messages(spark):
+    long = "\n".join(f"> line {i}" if i % 3 else f">> deep {i}" for i in range(20_000))
+    rows = [(1, 0, "user", "Shall we go?"), (1, 1, "user", "On 1 May 2026, A. Person wrote:\n> Shall we go?\nYes"), (1, 2, "user", "Am 1. Mai schrieb B.:\n\n> On Monday C wrote:\n>> Shall we go?\n> Yes\nfine, he wrote:\nand so on"), (2, 0, "user", long + "\nend")]
+    found = {(r.conv_id, r.turn): r for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert found[1, 1].body == "Yes" and found[1, 1].answers == 0
+    assert found[1, 2].body.strip() == "fine, he wrote:\nand so on" and found[1, 2].answers == 1 and found[1, 2].n_linked == 2
+    assert found[2, 0].body == "end" and found[2, 0].n_quotes == 13334
+
+
 def test_query_and_empty(spark, sf_dir):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
     assert {(r.conv_id, r.turn): (r.body, r.answers, r.n_quotes, r.n_linked, r.position) for r in queries.op10_quotation_linking(spark, sf_dir).collect()} == plain(rows)
     assert got(spark.createDataFrame([], "conv_id long, turn long, role string, text string")) == {}
-    assert chat.formatted(chat.conversations(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string"))).first().chat == "<|user|>\nhi\n"
+    assert chat.conversations(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")).first().chat == "<|user|>\nhi\n"
 
 
 def test_partial_interleaved_and_rewrapped_quotes(spark):
