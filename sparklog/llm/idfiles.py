@@ -8,12 +8,13 @@ A file holds the ids of documents in ascending ``doc_id`` order:
 
 Every id takes ``bits`` bits, the least that hold the vocabulary. A block is unpacked
 with a few array operations; the offsets give any document or id without the rest.
-Files are named by shard and written under another name first, so a task that runs
-twice leaves one whole file.
+A file's name is its writer's alone, and the manifest, which Spark commits, lists the files
+that count; what a lost or doubled task wrote is in no manifest.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
@@ -73,27 +74,34 @@ def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits:
 
 
 class IdFile:
-    """Random access to one file's ids."""
+    """Random access to one file's ids. Only the head and the asked blocks are read.
 
-    def __init__(self, data: bytes):
-        self.data = np.frombuffer(data, np.uint8)
-        magic, version, self.bits, self.block, blocks, docs, self.n_ids = HEAD.unpack(data[: HEAD.size])
+    source: the file's bytes, or an open file with ``seek`` and ``read``."""
+
+    def __init__(self, source):
+        self.source = io.BytesIO(source) if isinstance(source, bytes) else source
+        magic, version, self.bits, self.block, blocks, docs, self.n_ids = HEAD.unpack(self._read(0, HEAD.size))
         if magic != b"SLTK" or version != 1:
             raise ValueError("not a token-id file")
-        at = HEAD.size
-        self.doc_ids = self.data[at : at + 8 * docs].view("<i8")
-        at += 8 * docs
-        self.starts = self.data[at : at + 8 * (docs + 1)].view("<u8").astype(np.int64)
-        at += 8 * (docs + 1)
-        self.offsets = self.data[at : at + 8 * (blocks + 1)].view("<u8").astype(np.int64)
-        self.payload = at + 8 * (blocks + 1)
+        sizes = [8 * docs, 8 * (docs + 1), 8 * (blocks + 1)]
+        ends = np.cumsum(sizes)
+        table = self._read(HEAD.size, int(ends[-1]))
+        ids, starts, offsets = (np.frombuffer(table[e - n : e], t) for e, n, t in zip(ends, sizes, ("<i8", "<u8", "<u8")))
+        self.doc_ids, self.starts, self.offsets = ids, starts.astype(np.int64), offsets.astype(np.int64)
+        self.payload = HEAD.size + int(ends[-1])
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(n)
 
     def ids(self, lo: int, hi: int) -> np.ndarray:
-        """Ids number lo to hi-1; only their blocks are unpacked."""
+        """Ids number lo to hi-1; only their blocks are read and unpacked."""
         if hi <= lo:
             return np.zeros(0, np.uint32)
         first, last = lo // self.block, (hi - 1) // self.block
-        got = [unpack_ids(self.data[self.payload + self.offsets[b] : self.payload + self.offsets[b + 1]], self.bits, min(self.block, self.n_ids - b * self.block)) for b in range(first, last + 1)]
+        begin = int(self.offsets[first])
+        packed = np.frombuffer(self._read(self.payload + begin, int(self.offsets[last + 1]) - begin), np.uint8)
+        got = [unpack_ids(packed[self.offsets[b] - begin : self.offsets[b + 1] - begin], self.bits, min(self.block, self.n_ids - b * self.block)) for b in range(first, last + 1)]
         return np.concatenate(got)[lo - first * self.block : hi - first * self.block]
 
     def document(self, i: int) -> np.ndarray:
@@ -136,13 +144,10 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int |
         def close() -> pa.RecordBatch:
             doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            name = f"{root}/ids-{part:06d}-{seq:06d}.sltk"
-            draft = f"{name}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(draft) as f:
+            # Every attempt of a task writes files of its own; the manifest names those of the one that counts.
+            name = f"{root}/ids-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.sltk"
+            with fs.open_output_stream(name) as f:
                 f.write(encode_file(doc_ids, counts, ids, bits))
-            if fs.get_file_info(name).size is not None:  # of a task that was lost after this point; the same bytes
-                fs.delete_file(name)
-            fs.move(draft, name)
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}, schema=MANIFEST)
 
         for batch in batches:
@@ -178,16 +183,16 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, uri: str) -> Data
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_file(name) as f:
-                    held = IdFile(f.read())
-                crc = np.empty(len(held.doc_ids), np.int64)
-                step, at = 1 << 20, 0
-                while at < len(crc):  # runs of documents of about a million ids at once
-                    end = max(at + 1, int(np.searchsorted(held.starts, held.starts[at] + step, side="right")) - 1)
-                    end = min(end, len(crc))
-                    raw = held.ids(int(held.starts[at]), int(held.starts[end])).astype("<u4")
-                    for i in range(at, end):
-                        crc[i] = zlib.crc32(raw[held.starts[i] - held.starts[at] : held.starts[i + 1] - held.starts[at]])
-                    at = end
+                    held = IdFile(f)
+                    crc = np.empty(len(held.doc_ids), np.int64)
+                    step, at = 1 << 20, 0
+                    while at < len(crc):  # runs of documents of about a million ids at once
+                        end = max(at + 1, int(np.searchsorted(held.starts, held.starts[at] + step, side="right")) - 1)
+                        end = min(end, len(crc))
+                        raw = held.ids(int(held.starts[at]), int(held.starts[end])).astype("<u4")
+                        for i in range(at, end):
+                            crc[i] = zlib.crc32(raw[held.starts[i] - held.starts[at] : held.starts[i + 1] - held.starts[at]])
+                        at = end
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(held.doc_ids)), pa.array(held.starts[:-1] + base), pa.array(np.diff(held.starts)), pa.array(crc)], schema=schema)
 
     return placed.repartition(runtime.partitions(spark), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import io
 import os
 import re
 import time
@@ -203,6 +204,39 @@ def test_bit_packing_round_trip(bits):
         assert (held.document(i) == ids[start : start + n]).all()
     assert (held.ids(60, 140) == ids[60:140]).all()
 
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            self.taken += n
+            return super().read(n)
+
+    ids = r.integers(0, 1 << bits, 100_000).astype(np.uint32)
+    whole = idfiles.encode_file(np.arange(100), np.full(100, 1000), ids, bits, block=256)
+    f = Counting(whole)
+    assert (idfiles.IdFile(f).document(57) == ids[57_000:58_000]).all()
+    assert f.taken < len(whole) // 10 + 16 * 500  # the tables and the document's blocks only
+
+
+def test_token_query_equals_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.WORD_VOCABULARY)
+    want, start = [], 0
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
+        ids = tool.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op2_bitpacked_token_files(spark, sf_dir).collect())) == want
+
+
+def test_packing_query_on_the_table(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(queries.BYTE_VOCABULARY)
+    want = {r.doc_id: [np.array(tool.encode(r.text or "", add_special_tokens=False).ids + [1])] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    check_pieces([tuple(r) for r in queries.op5_cost_balanced_packing(spark, sf_dir).collect()], want, 2048)
+
 
 def test_token_files_equal_library(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
