@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Seconds of a bucket of distinct times.
+BUCKET = 3600
+
 
 def bucket_counts(events: DataFrame, time: str, width: str, keys: Sequence[str] = ()) -> DataFrame:
     """Events per tumbling window of ``width`` (and keys): ``bucket`` (its start), keys, ``n``."""
@@ -16,12 +22,26 @@ def bucket_counts(events: DataFrame, time: str, width: str, keys: Sequence[str]
 def bursts(events: DataFrame, time: str, gap_seconds: int, least: int, keys: Sequence[str] = ()) -> DataFrame:
     """Runs of events no more than ``gap_seconds`` apart with ``least`` events or more: keys, ``burst_start``, ``burst_end``, ``n``.
 
-    Events that share a second count as one place in the run, so the window sorts distinct times only."""
+    Events of one time count as one place in the run. Times are cut into buckets of BUCKET seconds, and what a bucket must know of
+    the earlier ones (their last time, how many runs began) is carried over, so no window holds more than a bucket or one row per bucket."""
     at = events.filter(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(time)
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    fresh = F.coalesce(seconds(F.col(time)) - seconds(F.lag(time).over(w)) > gap_seconds, F.lit(True))
-    runs = at.withColumn("_fresh", fresh.cast("long")).withColumn("_run", F.sum("_fresh").over(w))
+    at = at.withColumn("_s", seconds(F.col(time))).withColumn("_b", F.floor(F.col("_s") / BUCKET))
+    own, along = Window.partitionBy(*keys, "_b").orderBy("_s"), Window.partitionBy(*keys).orderBy("_b")
+    same = lambda a, b: reduce(and_, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, "_b"]))
+
+    def carried(rows: DataFrame, edges: DataFrame, *names: str) -> DataFrame:
+        """Rows with columns of their bucket's edge."""
+        return rows.alias("r").join(edges.alias("e"), same("r", "e")).select("r.*", *(f"e.{n}" for n in names))
+
+    lasts = at.groupBy(*keys, "_b").agg(F.max("_s").alias("_last"))
+    lasts = lasts.select(*keys, "_b", F.lag("_last").over(along).alias("_before"))
+    at = carried(at, lasts, "_before")
+    fresh = F.coalesce(F.col("_s") - F.coalesce(F.lag("_s").over(own), "_before") > gap_seconds, F.lit(True))
+    at = at.withColumn("_fresh", fresh.cast("long"))
+    begun = at.groupBy(*keys, "_b").agg(F.sum("_fresh").alias("_runs"))
+    begun = begun.select(*keys, "_b", F.coalesce(F.sum("_runs").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    runs = carried(at, begun, "_earlier").withColumn("_run", F.col("_earlier") + F.sum("_fresh").over(own))
     return runs.groupBy(*keys, "_run").agg(F.min(time).alias("burst_start"), F.max(time).alias("burst_end"), F.sum("_n").alias("n")).filter(F.col("n") >= least).drop("_run")
 
 
@@ -54,7 +74,12 @@ def cluster(rows: DataFrame, k: int, row_id: str, vector: str = "embedding", see
     from sparklog.functions.vectors import normalized
 
     unit = rows.select(row_id, array_to_vector(normalized(F.col(vector))).alias("features"))
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(unit).transform(unit).select(row_id, "cluster")
+    unit = unit.persist(StorageLevel.MEMORY_AND_DISK)  # read by every iteration
+    try:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(unit)
+    finally:
+        unit.unpersist()
+    return model.transform(unit).select(row_id, "cluster")
 
 
 def rate(condition: Column) -> Column:

@@ -16,6 +16,13 @@ FAMILIES = [
     ("System.NullReferenceException", "Object reference not set", "", ""),
     ("Acme.Http.RequestError", "Upstream gave no answer", "Acme.Net.SocketException", "Host unreachable"),
 ]
+# Of generated corpora, more families: messages that vary from one occurrence to the next (# is a number).
+VARIED = [
+    ("Acme.Store.UpdateException", ("Row # of the stock table was changed meanwhile", "Key # is already taken"), "Acme.Data.SqlException", "Duplicate key"),
+    ("System.OperationCanceledException", ("Job # was cancelled", "The shutdown cancelled # jobs"), "", ""),
+    ("System.IO.IOException", ("The file part-#.tmp is in use", "No space is left for # bytes"), "", ""),
+    ("System.InvalidOperationException", ("The queue holds no element #", "Worker # has not been started"), "Acme.Queue.StateException", "Not ready"),
+]
 STATUSES = [200, 200, 200, 301, 404, 500, 502, 503]
 LEVELS = {"error": "Error", "purchase": "Warning", "view": "Debug"}
 
@@ -28,12 +35,16 @@ def props_key(props: str = "props") -> Column:
     return F.get_json_object(props, "$.k").cast("long")
 
 
-def windows_from_events(events: DataFrame) -> DataFrame:
-    """Each event as a Windows service entry: ``raw_entry`` beside the event's columns and ``k``."""
-    e = events.withColumn("k", props_key()).withColumn("_f", F.col("k") % len(FAMILIES))
+def windows_from_events(events: DataFrame, varied: bool = False) -> DataFrame:
+    """Each event as a Windows service entry: ``raw_entry`` beside the event's columns and ``k``. varied: of all families, with messages that vary."""
+    families = [(a, (b, b), c, d) for a, b, c, d in FAMILIES] + (VARIED if varied else [])
+    e = events.withColumn("k", props_key()).withColumn("_f", F.col("k") % len(families))
     level = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), F.col("event_type")), F.lit("Information"))
     head = F.concat(F.date_format("ts", "M/d/yyyy hh:mm:ss a"), F.lit(" "), level, F.lit(": Acme.Shop.Unit"), (F.col("user_id") % 7).cast("string"), F.lit(".Worker handled "), "event_type")
-    kind, said, inner, why = (_pick([f[i] for f in FAMILIES], F.col("_f")) for i in range(4))
+    kind, inner, why = (_pick([f[i] for f in families], F.col("_f")) for i in (0, 2, 3))
+    one, other = (_pick([f[1][i] for f in families], F.col("_f")) for i in (0, 1))
+    number = (F.pmod(F.xxhash64("k", "user_id"), F.lit(9000)) + 1000).cast("string")
+    said = F.replace(F.when(F.col("user_id") % 2 == 0, one).otherwise(other), F.lit("#"), number)
     trace = F.concat(kind, F.lit(": "), said, F.when(inner != "", F.concat(F.lit(" ---> "), inner, F.lit(": "), why)).otherwise(""))
     block = F.concat_ws("\n", F.concat(F.lit("   Exception Type : "), kind), F.concat(F.lit("   Message    : "), said), F.lit("   Stack Trace :"), trace, F.lit("   at Acme.Shop.Worker.Run() in Worker.cs:line 42"), F.lit("   Status : Failed"))
     body = F.concat_ws("\n", head, F.concat(F.lit("   User : user_"), F.col("user_id").cast("string")), F.concat(F.lit("   Amount : "), F.format_string("%.2f", "value")), F.concat(F.lit("   Key : "), F.col("k").cast("string")), F.when(F.col("event_type") == "error", block))
@@ -74,7 +85,7 @@ def windows_corpus(spark: SparkSession, start: date, end: date, per_day: int = 5
     level = F.when(F.col("incident") | (F.col("u0") < 0.22), "Error").when(F.col("u0") < 0.37, "Warning").when(F.col("u0") < 0.45, "Debug").otherwise("Information")
     kind = F.when(level == "Error", "error").otherwise("task")
     e = slots.select("day", "ts", "n", level.alias("level"), kind.alias("event_type"), F.floor(F.col("u1") * 40).alias("user_id"), F.round(F.col("u2") * 900, 2).alias("value"), F.format_string('{"k": %d}', F.floor(F.col("u3") * 64).cast("long")).alias("props"))
-    text = windows_from_events(e)
+    text = windows_from_events(e, varied=True)
     entry = F.regexp_replace("raw_entry", r"^(\S+ \S+ \S+) \w+:", F.concat(F.lit("$1 "), F.col("level"), F.lit(":")))
     entry = F.concat(entry, F.when((F.col("event_type") == "error") & F.lit(pii) & (F.col("n") % 2 == 0), F.lit("\n   Country : AU\n   Account Id : ACC-1")).otherwise(""))
     name = F.concat(F.lit("log-"), F.date_format("day", "MM-dd-yyyy"), F.lit(".log"))

@@ -293,6 +293,9 @@ def test_generators(spark, tmp_path, store):
     assert synth.write_files(w, str(tmp_path / "w")) == 4 and sorted(os.listdir(tmp_path / "w"))[0] == "log-05-01-2026.log"
     c = SourceConfig("w", "windows_service", location=str(tmp_path / "w"))
     assert bronze.ingest_to_bronze(store, c).entries_landed >= 150 and transform_to_silver(store, c).entries_unparsed == 0 and transform_to_gold(store, c).segments_written > 0
+    kinds = {r.segment_text.split(":")[0] for r in store.read("gold_exception_segments", "w").filter("segment_type = 'signature'").collect()}
+    assert kinds == {f[0] for f in [*synth.FAMILIES, *synth.VARIED]}
+    assert store.read("gold_exception_segments", "w").filter("segment_text like 'System.IO%'").select("segment_text").distinct().count() >= 2
     a = synth.apache_corpus(spark, date(2026, 5, 1), date(2026, 5, 3), per_day=30)
     assert synth.write_files(a, str(tmp_path / "a")) == 3
     c = SourceConfig("a", "apache_access", location=str(tmp_path / "a"), file_prefix="access")
