@@ -20,7 +20,8 @@ from sparklog.functions import text
 from sparklog.operators.parsers import get_parser
 from sparklog.session import pin_utc
 from sparklog.sources.config import ConfigError, SourceConfig
-from sparklog.sources.logfiles import discover_files, read_texts
+from sparklog.sources import logfiles
+from sparklog.sources.logfiles import discover_files, fingerprints, large_entries, read_texts
 from sparklog.sources.tables import Store, first_of
 
 FILE_KEY = ["source_id", "file_name", "file_path"]
@@ -62,8 +63,7 @@ def check_pattern(spark: SparkSession, pattern: str) -> str:
 def entries_of(files: DataFrame, header_pattern: str) -> DataFrame:
     """Rows with ``text`` to one row per entry: the other columns, ``position``, ``raw_entry``, ``header_excerpt``, ``entry_hash``."""
     rows = files.select(*(c for c in files.columns if c != "text"), F.posexplode(text.split_entries(F.col("text"), header_pattern)).alias("position", "raw_entry"))
-    head = text.strip(F.substring_index("raw_entry", "\n", 1))
-    return rows.withColumn("header_excerpt", head).withColumn("entry_hash", F.sha2("raw_entry", 256))
+    return described(rows)
 
 
 def has_history(store: Store, source_id: str) -> bool:
@@ -78,6 +78,20 @@ def save_run(store: Store, result: IngestResult, config: SourceConfig, status: s
     store.append("bronze_runs", store.spark.createDataFrame([tuple(row[f.name] for f in BRONZE_RUNS.fields)], BRONZE_RUNS))
 
 
+def described(entries: DataFrame) -> DataFrame:
+    head = text.strip(F.substring_index("raw_entry", "\n", 1))
+    return entries.withColumn("header_excerpt", head).withColumn("entry_hash", F.sha2("raw_entry", 256))
+
+
+def _large(store: Store, config: SourceConfig, files: list[tuple[str, str]], header: str) -> tuple[DataFrame, int]:
+    """Entries of large files, and how many lines stand before their first headers."""
+    rows = large_entries(store.spark, [f"{path}/{name}" for name, path in files], header).withColumn("source_id", F.lit(config.source_id))
+    rows = rows.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).withColumn("file_path", F.regexp_replace(F.regexp_replace("path", r"/[^/]*$", ""), r"^file:(?://)?", ""))
+    before = rows.filter("raw_entry is null").agg(F.sum("lines")).first()[0] or 0
+    entries = rows.filter("raw_entry is not null").withColumn("processed_log_id", hash_id(*FILE_KEY)).withColumn("position", F.lit(0))
+    return described(entries.select("source_id", "processed_log_id", "position", "raw_entry")), before
+
+
 def ingest_files(store: Store, config: SourceConfig, files: DataFrame, result: IngestResult) -> IngestResult:
     """Land what is new in ``files`` (as ``discover_files`` gives them) and update the control table."""
     spark = store.spark
@@ -86,7 +100,7 @@ def ingest_files(store: Store, config: SourceConfig, files: DataFrame, result: I
     listed = files.select("file_name", "file_path").withColumn("source_id", F.lit(config.source_id))
     known = store.latest("bronze_processed_logs", FILE_KEY).select(*FILE_KEY, F.col("file_hash").alias("old_hash"), F.col("status").alias("old_status"), F.col("reprocess_count").alias("old_count"), F.col("first_seen_utc").alias("old_seen"), F.col("version").alias("old_version"))
     # Hashes first: texts are read again only of the files that changed.
-    hashed = files.select("file_name", "file_path", F.sha2("content", 256).alias("file_hash")).withColumn("source_id", F.lit(config.source_id))
+    hashed = fingerprints(files).withColumn("source_id", F.lit(config.source_id))
     state = listed.join(hashed, FILE_KEY, "left").join(known, FILE_KEY, "left")
     failed = F.col("file_hash").isNull()
     same = F.col("file_hash").eqNullSafe(F.col("old_hash")) & (F.col("old_status") != "failed")
@@ -99,16 +113,23 @@ def ingest_files(store: Store, config: SourceConfig, files: DataFrame, result: I
         result.files_failed, result.files_skipped_unchanged, result.files_processed = (counts.get(k, 0) for k in ("failed", "unchanged", "changed"))
         if result.files_processed:
             changed = state.filter("outcome = 'changed'").select("file_name", "file_path")
-            texts = read_texts(files.join(changed, ["file_name", "file_path"], "left_semi")).withColumn("source_id", F.lit(config.source_id))
+            small = files.filter(F.col("length") <= logfiles.LARGE).join(changed, ["file_name", "file_path"], "left_semi")
+            texts = read_texts(small).withColumn("source_id", F.lit(config.source_id))
             texts = texts.withColumn("processed_log_id", hash_id(*FILE_KEY))
             # Texts are split once: lines before a header and entries are counted on the way.
             seen, split = Observation(), Observation()
             texts = texts.observe(seen, F.sum(text.preamble_lines(F.col("text"), header)).alias("n"))
-            found = entries_of(texts.select("source_id", "processed_log_id", "text"), header).observe(split, F.count(F.lit(1)).alias("n"))
+            found = entries_of(texts.select("source_id", "processed_log_id", "text"), header)
+            large = [(r.file_name, r.file_path) for r in state.filter((F.col("outcome") == "changed") & (F.col("length") > logfiles.LARGE)).select("file_name", "file_path").collect()]
+            if large:
+                parts, before = _large(store, config, large, header)
+                found = found.select("source_id", "processed_log_id", "position", "raw_entry", "header_excerpt", "entry_hash").unionByName(parts)
+                result.preamble_lines = before
+            found = found.observe(split, F.count(F.lit(1)).alias("n"))
             rows = found.withColumn("id", hash_id("processed_log_id", "entry_hash")).withColumn("landed_at_utc", F.current_timestamp())
             result.entries_landed = store.append_new("bronze_landing", rows, ["processed_log_id", "entry_hash"], ["position"], config.source_id)
             result.entries_skipped_duplicate = (split.get["n"] or 0) - result.entries_landed
-            result.preamble_lines = seen.get["n"] or 0
+            result.preamble_lines += seen.get["n"] or 0
         now = F.current_timestamp()
         control = state.filter("outcome <> 'unchanged'").select(
             hash_id(*FILE_KEY).alias("id"), *FILE_KEY, F.lit(config.log_type).alias("log_type"), "file_hash",

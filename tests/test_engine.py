@@ -91,6 +91,31 @@ def test_cutoff_and_discovery(store, logs, spark):
     assert bronze.ingest_to_bronze(store, config(logs, earliest_date=date(2024, 1, 1), cutoff="always")).files_seen == 1
 
 
+@pytest.mark.parametrize("split", [64, 200, 10_000])
+def test_large_files_are_read_in_splits(store, spark, tmp_path, monkeypatch, split):
+    """The same entries as of a file taken whole, wherever splits cut it."""
+    from sparklog.sources import logfiles
+
+    folder = tmp_path / "big"
+    folder.mkdir()
+    body = "before\nany header\r\n" + "".join(f"5/{1 + i % 28}/2026 4:{i % 60:02}:10 AM Error: Acme.Job no {i}\n   User : u{i}\r\n\n  é\x0bx : {'y' * (i % 90)}\n" for i in range(40))
+    (folder / "log-big.log").write_bytes(body.encode() + b"   bad \xff byte\n")
+    (folder / "log-none.log").write_text("no header\nat all\n" * 30)
+    c = SourceConfig("s1", "windows_service", location=str(folder))
+    whole = Store(spark, str(tmp_path / "whole"))
+    first = bronze.ingest_to_bronze(whole, c)
+    monkeypatch.setattr(logfiles, "LARGE", 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        again = bronze.ingest_to_bronze(store, c)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    key = ["id", "processed_log_id", "entry_hash", "raw_entry", "header_excerpt", "source_id"]
+    rows = lambda s: sorted(map(tuple, s.read("bronze_landing").select(*key).collect()))
+    assert rows(store) == rows(whole) and (again.entries_landed, again.preamble_lines) == (first.entries_landed, first.preamble_lines) == (40, 62)
+    assert bronze.ingest_to_bronze(store, c).files_skipped_unchanged == 2
+
+
 def test_failed_files_are_retried(store, logs, spark):
     c = config(logs)
     bronze.ingest_to_bronze(store, c)
