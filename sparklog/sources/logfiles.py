@@ -42,7 +42,7 @@ def large_entries(spark: SparkSession, paths: list[str], header_pattern: str) ->
 
     Lines are numbered in their split and grouped by the header above them. Lines before a split's first header belong to the
     last header of an earlier split, which only needs one row a split to be found. No group holds more than an entry."""
-    rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+    rows = spark.read.text(paths).select("value", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("split"))
     rows = rows.withColumn("at", F.monotonically_increasing_id())  # ascends within a split
     # Other line ends than newlines make more lines of one.
     rows = rows.select("path", "split", "at", F.posexplode(lines(newlines(F.make_valid_utf8(F.regexp_replace("value", r"\r$", ""))))).alias("part", "line"))

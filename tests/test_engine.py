@@ -99,7 +99,7 @@ def test_large_files_are_read_in_splits(store, spark, tmp_path, monkeypatch, spl
     folder = tmp_path / "big"
     folder.mkdir()
     body = "before\nany header\r\n" + "".join(f"5/{1 + i % 28}/2026 4:{i % 60:02}:10 AM Error: Acme.Job no {i}\n   User : u{i}\r\n\n  é\x0bx : {'y' * (i % 90)}\n" for i in range(40))
-    (folder / "log-big.log").write_bytes(body.encode() + b"   bad \xff byte\n")
+    (folder / "log big+1%20.log").write_bytes(body.encode() + b"   bad \xff byte\n")
     (folder / "log-none.log").write_text("no header\nat all\n" * 30)
     c = SourceConfig("s1", "windows_service", location=str(folder))
     whole = Store(spark, str(tmp_path / "whole"))
