@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklog.llm import runtime
@@ -32,6 +32,8 @@ BUCKET_BITS = 18
 PASSAGE = 2
 #: At most so many labelled documents of each class are trained on (those of lowest hash).
 SAMPLE = 2500
+#: And of each class at most so many bytes of text, whole texts in order of hash (the first in any case).
+SAMPLE_BYTES = 32 << 20
 #: A text without words scores the share of class 1, but so much at most.
 EMPTY = 0.25
 DIM, EPOCHS, RATE = 8, 8, 0.5
@@ -227,7 +229,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on labelled documents whose crc32(doc_id as text) mod 5 is not 0, at most ``sample`` of each class.
+    """Train on labelled documents whose crc32(doc_id as text) mod 5 is not 0, at most ``sample`` and SAMPLE_BYTES of each class.
 
     Rows without a document or without a label take no part; of a document labelled twice each label counts. The classes'
     counts are taken over all labels of documents, not over the sample."""
@@ -237,8 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for k in (0, 1):
         some = usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
-    # At most 2 * sample rows: small enough to send to every task whatever the input.
-    rows = runtime.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    # At most 2 * sample rows: small enough to send to every task, and to sum up in a window, whatever the input.
+    rows = runtime.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    upto = F.sum(F.octet_length("text")).over(order)
+    rows = rows.withColumn("_upto", upto).withColumn("_turn", F.row_number().over(order)).filter((F.col("_upto") <= SAMPLE_BYTES) | (F.col("_turn") == 1)).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.toxic, zlib.crc32(r.text.encode())))
     ids = runtime.texts(docs).select("doc_id")
     found = {r["toxic"]: r["count"] for r in usable.join(ids, "doc_id", "left_semi").groupBy("toxic").count().collect()}

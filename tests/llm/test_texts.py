@@ -387,6 +387,19 @@ def test_toxicity_counts_beyond_the_sample(spark):
     assert toxicity.train(["bad"] * 9 + ["good"], np.array([1] * 9 + [0])).bias_empty < 0
 
 
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, counts=None: seen.append((texts, labels, counts)))
+    docs = spark.createDataFrame([(i, "w " * (2000 if i == 1 else 100)) for i in range(40)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    texts, labels, counts = seen[0]
+    for k in (0, 1):
+        own = [len(t) for t, y in zip(texts, labels) if y == k]
+        assert len(own) >= 1 and (sum(own) <= 1000 or len(own) == 1)
+    assert sum(counts) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+
+
 PIECES = ["a", "jo", "x_y", "@", "@@", ".", "..", "-", "+", "%", " ", "  ", "\n", "b.c", "d-e.org", "1", "22", "256", "1.2.3.4", "999.1", "+49", "(", ")", "[", "]", " at ", " AT ", " dot ", " DOT ", "[at]", "(dot)", "[.]", "[@]", " [at] ", "::", ":", "ab:", "fe80", "0049", "00", "1234", "/", "_", "555", "4111", "é", "Z"]
 
 
