@@ -29,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that the join reads plain rows on both sides, and splits a hub's.
         least = runtime.cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = runtime.cut(both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = runtime.cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         lower = runtime.cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(lower.hint("merge"), "u")
+        small = large.join(lower, "u")
         earlier, stars = stars, runtime.cut(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         runtime.drop(earlier, least, large, lower)
         now = _state(stars)

@@ -35,9 +35,9 @@ from sparklog.llm.components import components
 from sparklog.llm.kernels import BASE, LOWER, MIX_B, U64, gram_hashes, mix, parts, ragged, span_hashes, words
 
 #: Elements that one task holds in a prefix tree.
-CELL = 1 << 20
-#: Elements that a bucket of the hash space holds on average, and bytes of text of a chunk.
-BUCKET, CHUNK = 1 << 21, 2 << 20
+CELL = 1 << 19
+#: Elements that a bucket of the hash space holds on average, and bytes of text of a chunk, and of texts hashed at once.
+BUCKET, CHUNK, PART = 1 << 20, 2 << 20, 1 << 19
 
 
 def ordered_by(row: np.ndarray, rows: int, value: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def _sets(packed: list[bytes], n_words: int) -> tuple[np.ndarray, np.ndarray]:
     value, size, at = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
     while at < len(packed):
         end, total = at, 0
-        while end < len(packed) and (end == at or total < CHUNK // 4):
+        while end < len(packed) and (end == at or total < PART // 4):  # compressed to about a third
             total += len(packed[end])
             end += 1
         v, s = shingle_sets(*_open(packed[at:end]), n_words)
@@ -263,16 +263,37 @@ def _chunks(source: DataFrame, n_words: int) -> DataFrame:
 
         seen: set[tuple[int, int]] = set()
         number = TaskContext.get().partitionId() << 32
+        held: list[list] = [[] for _ in schema.types[1:]]
+
+        def close() -> pa.RecordBatch:
+            nonlocal number
+            ids, sizes, hi, lo = (np.concatenate(x) for x in held[:4])
+            row = [number, ids, sizes, hi, lo, held[4][:], held[5][:]]
+            for x in held:
+                x.clear()
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types)], schema=schema)
+
+        gathered = rows = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, off, buf, _ in parts(batch.column(1), CHUNK):
+            for a, b, off, buf, _ in parts(batch.column(1), PART):
                 value, size = shingle_sets(off, buf, n_words)
                 hi, lo = digests(value, size)
                 fresh = [i for i, k in enumerate(zip(hi.tolist(), lo.tolist())) if size[i] and k not in seen and not seen.add(k)]
                 raw = buf.tobytes()
                 packed = [_squeeze(raw[off[i] : off[i + 1]]) for i in fresh]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, ids[a:b], size, hi, lo, fresh, packed), schema.types)], schema=schema)
-                number += 1
+                for x, more in zip(held[:4], (ids[a:b], size, hi, lo)):
+                    x.append(more)
+                held[4] += [rows + i for i in fresh]
+                held[5] += packed
+                rows += b - a
+                gathered += len(buf)
+                if gathered >= CHUNK:
+                    yield close()
+                    gathered = rows = 0
+        if rows:
+            yield close()
 
     arrays = ", ".join(f"{n} array<long>" for n in ("ids", "sizes", "hi", "lo"))
     return source.mapInArrow(run, f"chunk long, {arrays}, fresh array<int>, packed array<binary>")
