@@ -288,8 +288,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _upper(usable: DataFrame, n: int, dim: int, top: float) -> Upper:
     cells = max(-(-n // CELL_ROWS), min(runtime.partitions(usable.sparkSession), n // LEAST_ROWS), 1)
     rows = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)) if cells > 1 else 0
-    sample = [r.v for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("v").collect()] if rows else []
-    return Upper(lifted(np.array(sample, float).reshape(-1, dim), top) @ axes_of(dim), cells)
+    axes = axes_of(dim)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = lifted(_matrix(batch.column(0), dim), top) @ axes
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(points.reshape(-1)), M).cast(pa.list_(pa.float64()))], names=["p"])
+
+    chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("v").mapInArrow(project, "p array<double>")
+    sample = [r.p for r in chosen.collect()] if rows else []  # M numbers a row
+    return Upper(np.array(sample, float).reshape(-1, M), cells)
 
 
 def _answers(indexed: DataFrame, asked: DataFrame, dim: int, top: float, k: int) -> DataFrame:

@@ -33,9 +33,10 @@ PASSAGE = 2
 #: At most so many labelled documents of each class are trained on (those of lowest hash).
 SAMPLE = 2500
 #: And of each class at most so many bytes of text, whole texts in order of hash (the first in any case).
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 8 << 20
 #: A text without words scores the share of class 1, but so much at most.
 EMPTY = 0.25
+BATCH, BATCH_WORDS = 64, 20_000
 DIM, EPOCHS, RATE = 8, 8, 0.5
 #: A clean text rejected counts as much as so many toxic ones kept.
 CLEAN = 2
@@ -190,8 +191,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
             _, begin = passage_best(word_scores()[every], per_row, PASSAGE)
             size = np.minimum(per_row - (begin - firsts), PASSAGE)
         order = rng.permutation(learn)
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
+        upto = np.cumsum(size[order])
+        at = 0
+        while at < len(order):  # steps of BATCH texts, and of so many words that they stay small
+            end = int(np.searchsorted(upto, upto[at] - size[order[at]] + BATCH_WORDS, side="right"))
+            some = order[at : max(at + 1, min(end, at + BATCH))]
+            at += len(some)
             w = every[ragged(begin[some], size[some])]
             doc = np.repeat(np.arange(len(some)), size[some])
             word_w = np.repeat(1 / size[some], size[some])
