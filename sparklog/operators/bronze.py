@@ -128,8 +128,8 @@ def ingest_files(store: Store, config: SourceConfig, files: DataFrame, result: I
             found = found.observe(split, F.count(F.lit(1)).alias("n"))
             rows = found.withColumn("id", hash_id("processed_log_id", "entry_hash")).withColumn("landed_at_utc", F.current_timestamp())
             result.entries_landed = store.append_new("bronze_landing", rows, ["processed_log_id", "entry_hash"], ["position"], config.source_id)
-            result.entries_skipped_duplicate = (split.get["n"] or 0) - result.entries_landed
-            result.preamble_lines += seen.get["n"] or 0
+            result.entries_skipped_duplicate = (split.get.get("n") or 0) - result.entries_landed
+            result.preamble_lines += seen.get.get("n") or 0
         now = F.current_timestamp()
         control = state.filter("outcome <> 'unchanged'").select(
             hash_id(*FILE_KEY).alias("id"), *FILE_KEY, F.lit(config.log_type).alias("log_type"), "file_hash",

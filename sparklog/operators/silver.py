@@ -52,7 +52,7 @@ def transform_to_silver(store: Store, config: SourceConfig) -> TransformResult:
         taken = waiting.select(F.col("id").alias("landing_id"), "source_id")
         columns = [f.name for f in store.read("silver_log_entries").schema.fields]
         result.entries_written = store.append_new("silver_log_entries", rows.select(*columns), key, ["bronze_landing_id"], config.source_id)
-        result.entries_read, result.entries_unparsed = seen.get["n"], seen.get["odd"]
+        result.entries_read, result.entries_unparsed = seen.get.get("n", 0), seen.get.get("odd", 0)
         store.append("silver_digested", taken)  # after silver: a run that dies before it is repeated without harm
     result.entries_skipped_duplicate = result.entries_read - result.entries_written
     mark_completed(store, config.source_id)
