@@ -32,7 +32,7 @@ Q = 10
 EDIT_RATE = 0.08
 TABLE_BITS = 22
 #: Benchmark bytes held in one index; a larger benchmark is matched in blocks of this size.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Pairs counted at once, and hits of a pair, per byte of its text and item, beyond which bands are not counted.
 COUNTED, DENSE = 1 << 22, 4
@@ -85,56 +85,56 @@ def gram_codes(text: np.ndarray, q: int = Q) -> np.ndarray:
     return mix(eight[:n] ^ mix(eight[q - 8 : q - 8 + n]))
 
 
+def short_codes(text: np.ndarray, q: int = Q) -> np.ndarray:
+    """32 bits of each code. Runs that share them by chance only add to counts, which are lower bounds to pass."""
+    return (gram_codes(text, q) >> U64(32)).astype(np.uint32)
+
+
 class Index:
-    """Q-grams of a block of benchmark items: a bit table for a first test, and sorted codes with their places."""
+    """Q-grams of a block of benchmark items (about 14 bytes for each of the block's): a table for a first test, and sorted codes with their items."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edit_rate: float = EDIT_RATE):
         self.q = q
         self.ids, self.text = [], []
-        codes, owner, place = [], [], []
+        codes, owner = [], []
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             norm, _, _ = normal(raw, np.array([0, len(raw)]))
             norm = norm[:-1] if len(norm) and norm[-1] == 32 else norm
             if len(norm) < q:
                 continue
-            c = gram_codes(norm, q)
+            c = short_codes(norm, q)
             codes.append(c)
-            owner.append(np.full(len(c), len(self.ids)))
-            place.append(np.arange(len(c)))
+            owner.append(np.full(len(c), len(self.ids), np.int32))
             self.ids.append(item_id)
             self.text.append(norm)
         n = np.array([len(t) for t in self.text], np.int64)
         self.size = n
         self.budget = np.minimum((edit_rate * n).astype(np.int64), (n - q) // q)
         self.least = n - q + 1 - self.budget * q
-        owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        place = np.concatenate(place) if place else np.zeros(0, np.int64)
-        self.codes, code = np.unique(np.concatenate(codes) if codes else np.zeros(0, U64), return_inverse=True)
-        code = code.reshape(-1)
+        code = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
         # Items by distinct code, and how often each has it.
-        order = np.lexsort((owner, code))
-        head = np.flatnonzero(np.append(True, (np.diff(code[order]) != 0) | (np.diff(owner[order]) != 0))) if len(code) else np.zeros(0, np.int64)
-        self.item, self.times = owner[order][head], np.diff(np.append(head, len(code)))
-        self.first = np.searchsorted(code[order][head], np.arange(len(self.codes) + 1))
-        # Each item's codes, ascending, with their places.
-        order = np.lexsort((code, owner))
-        self.own_code, self.own_place = code[order], place[order]
-        self.own_first = np.searchsorted(owner[order], np.arange(len(self.ids) + 1))
+        order = np.argsort(code.astype(U64) << U64(32) | owner.astype(U64))
+        code, owner = code[order], owner[order]
+        head = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1]))[: len(code)])
+        self.item, self.times = owner[head], np.diff(np.append(head, len(code))).astype(np.int32)
+        self.codes, first = np.unique(code[head], return_index=True)
+        self.first = np.append(first, len(head)).astype(np.int32)
         self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[self.codes >> U64(64 - TABLE_BITS)] = True
+        self.table[self.codes >> np.uint32(32 - TABLE_BITS)] = True
 
     def _pairs(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows and items that share as many q-grams as a match needs, and how many they share."""
         key, times = np.unique(row * len(self.codes) + code, return_counts=True)
         row, code = np.divmod(key, len(self.codes))
-        n = self.first[code + 1] - self.first[code]
+        n = (self.first[code + 1] - self.first[code]).astype(np.int64)
         ends = np.cumsum(n)
         keys, hits, at = [], [], 0
         while at < len(key):  # in steps of bounded size
             end = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + COUNTED, side="right")))
             post = ragged(self.first[code[at:end]], n[at:end])
-            pair, back = np.unique(np.repeat(row[at:end], n[at:end]) * len(self.ids) + self.item[post], return_inverse=True)
+            pair, back = np.unique(np.repeat(row[at:end], n[at:end]) * len(self.ids) + self.item[post].astype(np.int64), return_inverse=True)
             keys.append(pair)
             hits.append(np.bincount(back.reshape(-1), np.repeat(times[at:end], n[at:end]) * self.times[post]))
             at = end
@@ -147,10 +147,10 @@ class Index:
     def matches(self, off: np.ndarray, buf: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first byte, end byte) of each row and item that match, best alignment."""
         text, rows, at = normal(buf, off)
-        codes = gram_codes(text, self.q)
+        codes = short_codes(text, self.q)
         if not len(codes) or not len(self.codes):
             return []
-        pos = np.flatnonzero(self.table[codes >> U64(64 - TABLE_BITS)])
+        pos = np.flatnonzero(self.table[codes >> np.uint32(32 - TABLE_BITS)])
         code = np.minimum(np.searchsorted(self.codes, codes[pos]), len(self.codes) - 1)
         row = np.searchsorted(rows, pos, side="right") - 1
         fits = (self.codes[code] == codes[pos]) & (pos + self.q <= rows[row + 1])
@@ -184,9 +184,11 @@ class Index:
 
     def _bands(self, i: int, pos: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Diagonal bands of a text and an item that reach the bound. Each hit counts in the two bands that overlap on its diagonal."""
-        own = slice(self.own_first[i], self.own_first[i + 1])
-        lo, hi = np.searchsorted(self.own_code[own], code), np.searchsorted(self.own_code[own], code, side="right")
-        band = (np.repeat(pos, hi - lo) - self.own_place[own][ragged(lo, hi - lo)]) // (self.budget[i] + 1)
+        own = np.searchsorted(self.codes, short_codes(self.text[i], self.q))
+        place = np.argsort(own, kind="stable")
+        own = own[place]
+        lo, hi = np.searchsorted(own, code), np.searchsorted(own, code, side="right")
+        band = (np.repeat(pos, hi - lo) - place[ragged(lo, hi - lo)]) // (self.budget[i] + 1)
         found, count = np.unique(np.concatenate([band, band - 1]), return_counts=True)
         return found[count >= self.least[i]]
 
@@ -252,34 +254,34 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+def _indexes(spark, benchmark: DataFrame, id_col: str, text_col: str) -> list:
+    return [spark.sparkContext.broadcast(Index(block)) for block in _blocks(benchmark, id_col, text_col)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row per matching pair: ``doc_id, item_id, edits, start, end`` (code points of the best alignment).
 
     Null texts and items of fewer than Q normalised bytes match nothing, repeated rows give repeated pairs, an empty
-    table on either side gives none, and other columns are ignored.
+    table on either side gives none, and other columns are ignored. Documents are read once, whatever the benchmark's size.
     """
     spark = docs.sparkSession
     runtime.tune(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-    out = None
-    for block in _blocks(benchmark, id_col, text_col):
-        held = spark.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            for batch in batches:
-                doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for lo, _, off, buf, _ in parts(batch.column(1), 1 << 20):
-                    rows = []
+    held = _indexes(spark, benchmark, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, _, off, buf, _ in parts(batch.column(1), 1 << 20):
+                rows = []
+                for index in (h.value for h in held):
                     for r, i, edits, b, e in index.matches(off, buf):
                         points = np.cumsum((buf[off[r] : e] & 0xC0) != 0x80)
                         rows.append((doc_ids[lo + r], index.ids[i], edits, int(points[b - off[r]]) - 1, int(points[-1])))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
-        part = runtime.texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], "doc_id long, item_id long, edits long, start long, end long") if out is None else out
+    return runtime.texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -287,15 +289,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", t
     spark = docs.sparkSession
     runtime.tune(spark)
     at = docs.columns.index("text")
-    for block in _blocks(benchmark, id_col, text_col):
-        held = spark.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for lo, _, off, buf, _ in parts(batch.column(at), 1 << 20):
-                    keep[[lo + m[0] for m in held.value.matches(off, buf)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    held = _indexes(spark, benchmark, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, off, buf, _ in parts(batch.column(at), 1 << 20):
+                for h in held:
+                    keep[[lo + m[0] for m in h.value.matches(off, buf)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

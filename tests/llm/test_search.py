@@ -168,6 +168,19 @@ def test_leaks_equal_brute_force(spark):
                 assert distance(norm(texts[d][x.start : x.end]), a) <= edits
 
 
+def test_leaks_of_a_benchmark_in_several_blocks(spark, monkeypatch):
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
+    items = [(i, text(12)) for i in range(30)]
+    docs = [(i, f"{text(20)} {items[i][1] if i < 30 else ''} {text(20)} {items[29 - i][1] if i < 30 else ''}") for i in range(40)]
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, decontam.leaks(table, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
+    assert len(decontam._indexes(spark, bench, "item_id", "text")) > 5
+    assert sorted(map(tuple, decontam.leaks(table, bench).collect())) == want and {w[:2] for w in want} >= {(i, j) for i in range(30) for j in (i, 29 - i)}
+    assert sorted(x.doc_id for x in decontam.drop_leaks(table, bench).collect()) == list(range(30, 40))
+
+
 def test_leaks_query_finds_verbatim_items(spark, sf_dir):
     items = {r.item_id: norm(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     docs = {r.doc_id: norm(r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
