@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,10 @@ def discover_files(spark: SparkSession, location: str, file_prefix: str = "log",
     name = F.element_at(F.split("path", "/"), -1)
     rows = found.select(name.alias("file_name"), F.regexp_replace(F.regexp_replace("path", r"/[^/]*$", ""), r"^file:(?://)?", "").alias("file_path"), F.col("modificationTime").alias("modified"), "length", "content")
     rows = rows.filter(F.lower("file_name").startswith(file_prefix.lower()))
-    return rows if earliest is None else rows.filter(F.to_date("modified") >= F.lit(earliest))
+    if earliest is None:
+        return rows
+    # From the day's first moment in the zone of the machine that runs the import; the scan takes the bound.
+    return rows.filter(F.col("modified") >= F.lit(datetime.combine(earliest, time.min).astimezone()))
 
 
 def read_texts(files: DataFrame) -> DataFrame:
