@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +30,37 @@ def cut(df: DataFrame, label: str, free: bool = False) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
     made = spark.read.schema(df.schema).parquet(path)
     made._cut_path = path
+    if _NOTED:
+        _NOTED[-1].append(path)
     return made
 
 
+#: Lists of the folders written since each ``temporary`` that is open.
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders that ``cut`` writes meanwhile are deleted at the end, but for those taken off the list that this gives."""
+    noted: list[str] = []
+    _NOTED.append(noted)
+    try:
+        yield noted
+    finally:
+        _NOTED.remove(noted)
+        _delete(spark, noted)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        made = spark._jvm.org.apache.hadoop.fs.Path(path)
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the folders of tables made by ``cut`` that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, [t._cut_path])
 
 
 def tune(spark: SparkSession) -> None:

@@ -223,7 +223,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
             bias -= RATE * 0.2 * d_bias / np.sqrt(g_bias)
         # The cut at 0.5 goes where the judging texts are told apart best, each weighing what it stands for.
         best, _ = passage_best(word_scores()[every], per_row, PASSAGE)
-        z, t = best[judges], y[judges]
+        z, t = np.round(best[judges], 6), y[judges]  # sums of one passage's words differ in their last bits
         order = np.argsort(-z, kind="stable")
         wrong = many[1] * (t == 1).sum() + np.cumsum(np.where(t[order] == 1, -many[1], CLEAN * many[0]))  # if cut behind each
         wrong = np.where(np.append(z[order][1:] < z[order][:-1], False), wrong, np.inf)

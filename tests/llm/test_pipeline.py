@@ -51,6 +51,17 @@ def test_run_equals_stages(stages, spark, sf_dir):
     assert key(got) == key(stages[-1])
 
 
+def test_run_leaves_one_folder(spark, sf_dir, tmp_path, monkeypatch):
+    """What stages wrote on the way is deleted; the last kept documents, which the result reads, stay."""
+    import os
+
+    from sparklog.llm import runtime
+
+    monkeypatch.setattr(runtime, "new_dir", lambda spark, label: f"file://{tmp_path}/{label}-{len(os.listdir(tmp_path))}-{os.urandom(4).hex()}")
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [f.rsplit("-", 2)[0] for f in os.listdir(tmp_path)] == ["personal-data"]
+
+
 def test_empty_documents(spark, sf_dir, no_docs):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
