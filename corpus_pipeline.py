@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = runtime.table(spark, sf_dir, "documents")
+    docs, before = runtime.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = runtime.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with runtime.temporary(spark) as written:  # what a stage wrote on the way goes once its result is whole
+            docs = runtime.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            written.remove(docs._cut_path)
+        if before is not None:
+            runtime.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
