@@ -272,7 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, off, buf, _ in parts(batch.column(1), 1 << 20):
+            for lo, _, off, buf, _ in parts(batch.column(1), 1 << 19):
                 rows = []
                 for index in (h.value for h in held):
                     for r, i, edits, b, e in index.matches(off, buf):
@@ -281,7 +281,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_c
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
-    return runtime.texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
+    return runtime.texts(docs).mapInArrow(runtime.lean(run), "doc_id long, item_id long, edits long, start long, end long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -294,9 +294,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for lo, _, off, buf, _ in parts(batch.column(at), 1 << 20):
+            for lo, _, off, buf, _ in parts(batch.column(at), 1 << 19):
                 for h in held:
                     keep[[lo + m[0] for m in h.value.matches(off, buf)]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(runtime.lean(run), docs.schema)

@@ -296,7 +296,7 @@ def _chunks(source: DataFrame, n_words: int) -> DataFrame:
             yield close()
 
     arrays = ", ".join(f"{n} array<long>" for n in ("ids", "sizes", "hi", "lo"))
-    return source.mapInArrow(run, f"chunk long, {arrays}, fresh array<int>, packed array<binary>")
+    return source.mapInArrow(runtime.lean(run), f"chunk long, {arrays}, fresh array<int>, packed array<binary>")
 
 
 def _survivors(chunks: DataFrame, total: int, n_words: int, num: int, den: int) -> DataFrame:
@@ -349,11 +349,11 @@ def _survivors(chunks: DataFrame, total: int, n_words: int, num: int, den: int)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), out.types)], schema=out)
 
-    counted = chunks.select("chunk", "packed").mapInArrow(count, "bucket long, chunk long, blob binary")
-    rated = counted.groupBy("bucket").applyInArrow(rate, "bucket long, chunk long, ranks binary")
+    counted = chunks.select("chunk", "packed").mapInArrow(runtime.lean(count), "bucket long, chunk long, blob binary")
+    rated = counted.groupBy("bucket").applyInArrow(runtime.lean_group(rate), "bucket long, chunk long, ranks binary")
     back = rated.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("rated"))
     joined = chunks.select("chunk", "hi", "lo", "fresh", "packed").join(back.hint("merge"), "chunk")
-    return joined.select("hi", "lo", "fresh", "packed", "rated").mapInArrow(choose, "hi long, lo long, n long, prefix array<long>, packed binary, ranks binary")
+    return joined.select("hi", "lo", "fresh", "packed", "rated").mapInArrow(runtime.lean(choose), "hi long, lo long, n long, prefix array<long>, packed binary, ranks binary")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
@@ -378,7 +378,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, n_words: int, num: int, den: i
     text = nodes.select("node", "packed")
     whole = pairs.hint("merge").join(text, "node").select("pivot", F.col("node").alias("a"), F.col("packed").alias("own"))
     whole = whole.hint("merge").join(text.select(F.col("node").alias("pivot"), "packed"), "pivot")
-    return whole.select("a", "pivot", "own", "packed").mapInArrow(run, "a long, b long")
+    return whole.select("a", "pivot", "own", "packed").mapInArrow(runtime.lean(run), "a long, b long")
 
 
 def _units(rest: DataFrame) -> DataFrame:
@@ -415,7 +415,7 @@ def _tree_links(rest: DataFrame, nodes: DataFrame, n_words: int, num: int, den:
         return pa.table([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     at_work = dealt.hint("merge").join(nodes.select("node", "packed", "ranks"), "node")
-    return at_work.groupBy("unit", "by_element", "i", "j").applyInArrow(cell, "a long, b long")
+    return at_work.groupBy("unit", "by_element", "i", "j").applyInArrow(runtime.lean_group(cell), "a long, b long")
 
 
 def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
@@ -496,7 +496,7 @@ def _of_repeated(docs: DataFrame, grouped: DataFrame, times: DataFrame, n_words:
             hi, lo, size = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hi), pa.array(lo), pa.array(size.astype(np.int64))], names=[*batch.schema.names, *hi_lo, f"{own}n"])
 
-    marked = rows.mapInArrow(run, StructType([*rows.schema.fields, *(StructField(n, LongType()) for n in (*hi_lo, f"{own}n"))]))
+    marked = rows.mapInArrow(runtime.lean(run), StructType([*rows.schema.fields, *(StructField(n, LongType()) for n in (*hi_lo, f"{own}n"))]))
     same = marked.join(keys.hint("merge"), "doc_id").filter(F.array_contains(f"{own}keys", F.struct(*hi_lo)))
     least = same.withColumn(f"{own}turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(f"{own}turn") == 1)
     return least.select(*docs.columns).unionByName(marked.filter(F.col(f"{own}n") == 0).select(*docs.columns))

@@ -6,9 +6,11 @@ which every executor can read, so a lost executor costs a retry and nothing else
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
-from contextlib import contextmanager
+import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +71,38 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def tidy() -> None:
+    """Give memory that is free back to the machine: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):  # another C library has nothing to trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """A function of batches that tidies up when it is done."""
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(given)
+        finally:
+            tidy()
+
+    return batches
+
+
+def lean_group(work: Callable) -> Callable:
+    """The same for a function of a group's table."""
+
+    def group(given: pa.Table) -> pa.Table:
+        try:
+            return work(given)
+        finally:
+            tidy()
+
+    return group
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -114,7 +114,7 @@ def _by_window(held: DataFrame) -> DataFrame:
             made = (anchor[row], seg[row], step.astype(np.int32), h[heads[row] + step].view(np.int64), doc[row], (begin[row] + step).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], schema=schema)
 
-    rows = runtime.cut(held.mapInArrow(run, "anchor long, seg long, step int, window long, doc_id long, begin int"), "windows")
+    rows = runtime.cut(held.mapInArrow(runtime.lean(run), "anchor long, seg long, step int, window long, doc_id long, begin int"), "windows")
     first = runtime.cut(rows.groupBy("window").agg(F.min(F.struct("doc_id", "begin")).alias("place")), "first")
     steps = rows.select("anchor", "seg", "step", "window").distinct().join(first.hint("merge"), "window")
     listed = steps.groupBy("anchor", "seg").agg(F.sort_array(F.collect_list(F.struct("step", "place.doc_id", "place.begin"))).alias("s"))
@@ -144,7 +144,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 seg = run_hashes(h, at, at + count + SPAN - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[a + row]), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], schema=pa.schema(fields))
 
-    every = source.mapInArrow(cut_up, "anchor long, seg long, doc_id long, begin int, windows int")
+    every = source.mapInArrow(runtime.lean(cut_up), "anchor long, seg long, doc_id long, begin int, windows int")
     # Written, so that the join reads both sides from plain shuffles and splits a common anchor.
     often = runtime.cut(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")
     repeated = runtime.cut(every.join(often.hint("merge"), "anchor"), "repeated", free=True)
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     packed = runtime.squeezed(source)  # texts cross the network twice, for the segments' words and for the result
     texts = packed.join(wanted.hint("merge"), "doc_id").select("doc_id", "packed", "wanted")
-    held = texts.mapInArrow(fetch, "anchor long, seg long, doc_id long, begin int, windows int, words array<long>")
+    held = texts.mapInArrow(runtime.lean(fetch), "anchor long, seg long, doc_id long, begin int, windows int, words array<long>")
     answer = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("docs", pa.list_(pa.int64())), ("begins", pa.list_(pa.int32()))])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +217,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     types = "anchor long, seg long, docs array<long>, begins array<int>"
     if hot.isEmpty():
-        answers = held.repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(index, types)
+        answers = held.repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.lean(index), types)
     else:
         held = runtime.cut(held, "held")
-        cool = held.join(hot.hint("merge"), "anchor", "left_anti").repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(index, types)
+        cool = held.join(hot.hint("merge"), "anchor", "left_anti").repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.lean(index), types)
         answers = cool.unionByName(_by_window(held.join(hot.hint("merge"), "anchor", "left_semi")))
     marks = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("mask", pa.int32())])
 
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             keep = mask > 0
             yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(begin[keep]), pa.array(mask[keep])], schema=marks)
 
-    judged = repeated.join(answers, ["anchor", "seg"]).select("doc_id", "begin", "docs", "begins").mapInArrow(judge, "doc_id long, begin int, mask int")
+    judged = repeated.join(answers, ["anchor", "seg"]).select("doc_id", "begin", "docs", "begins").mapInArrow(runtime.lean(judge), "doc_id long, begin int, mask int")
     by_doc = judged.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "mask")).alias("marks"))
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
@@ -267,4 +267,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     none = F.expr("cast(array() as array<struct<begin: int, mask: int>>)")
     joined = packed.join(by_doc.hint("merge"), "doc_id", "left").select("doc_id", "packed", F.coalesce("marks", none).alias("marks"))
-    return joined.mapInArrow(strike, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(runtime.lean(strike), "doc_id long, n_words long, n_removed long, kept string")

@@ -139,7 +139,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
     # Each distinct word's n-grams, once.
     words, rows = {}, []
     for t in texts:
-        row = np.array([words.setdefault(w, len(words)) for w in t.encode().lower().split()], np.int64)
+        row = np.array([words.setdefault(w, len(words)) for w in t.encode().lower().split()], np.int32)
         rows.append(row[np.append(True, row[1:] != row[:-1])[: len(row)]])
     names = list(words)
     ids, sizes = [], []
@@ -155,7 +155,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
     ids, sizes = np.concatenate(ids), np.concatenate(sizes)
     heads = np.cumsum(sizes) - sizes
     per_row = np.array([len(r) for r in rows])
-    every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    every = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     firsts = np.cumsum(per_row) - per_row
     # Buckets that few texts fill say nothing of other texts: their vectors stay 0.
     filled = np.zeros(1 << BUCKET_BITS, np.int32)
@@ -181,8 +181,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, counts: tuple[int
         return vec @ (soft[:, 1] - soft[:, 0])
 
     def word_scores() -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(folded()[ids], dtype=np.float64)])
-        return (sums[heads + sizes] - sums[heads]) / np.maximum(sizes, 1)
+        # Every word has an n-gram, for its ends are marked.
+        return np.add.reduceat(folded()[ids], heads).astype(np.float64) / sizes if len(heads) else np.zeros(0)
 
     for epoch in range(EPOCHS):
         if epoch == 0:
@@ -265,7 +265,7 @@ def scored(docs: DataFrame, model: Model, keep_below: float | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [held.value.score(off, buf) for _, _, off, buf, _ in parts(batch.column(at), 1 << 20)]
+            got = [held.value.score(off, buf) for _, _, off, buf, _ in parts(batch.column(at), 1 << 19)]
             score = np.concatenate(got) if got else np.zeros(0)
             if keep_below is None:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], schema=schema)
@@ -273,5 +273,5 @@ def scored(docs: DataFrame, model: Model, keep_below: float | None = None) -> Da
                 yield batch.filter(pa.array(score < keep_below))
 
     if keep_below is None:
-        return runtime.texts(docs).mapInArrow(run, "doc_id long, score double")
-    return docs.mapInArrow(run, docs.schema)
+        return runtime.texts(docs).mapInArrow(runtime.lean(run), "doc_id long, score double")
+    return docs.mapInArrow(runtime.lean(run), docs.schema)
