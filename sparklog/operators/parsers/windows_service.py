@@ -116,8 +116,8 @@ class WindowsService:
         out = out.withColumn("is_exception", F.size("_runs") > 0)
         out = out.withColumn("exception_text", F.when(F.col("is_exception"), text.strip(F.array_join(block, "\n"))))
         out = once(out, _rest_rows=F.when(F.col("is_exception"), rest).otherwise(F.col("_rows")))
-        fields = policy.fields(F.map_from_entries(pairs_of(F.col("_rest_rows"))))
-        return out.withColumn("extra_fields", F.to_json(fields, {"ignoreNullFields": "false"})).drop("_lines", "_head", "_rest", "_rows", "_runs", "_rest_rows")
+        out = once(out, _fields=F.map_from_entries(pairs_of(F.col("_rest_rows"))))
+        return out.withColumn("extra_fields", F.to_json(policy.fields(F.col("_fields")), {"ignoreNullFields": "false"})).drop("_lines", "_head", "_rest", "_rows", "_runs", "_rest_rows", "_fields")
 
     def segments(self, exception_text: Column) -> Column:
         pieces = F.flatten(F.transform(text.lines(text.newlines(exception_text)), lambda s: F.split(s, INNER_MARKER)))
