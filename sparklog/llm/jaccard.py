@@ -10,14 +10,16 @@ Two sets link when ``den * |A and B| >= num * |A or B|``; the result is exact at
 3. Sets that link share an element of their prefixes (the first ``n - least overlap + 1``
    elements in the global order). Elements of one document link nothing, so a document whose
    prefix holds only such elements ends here: most do.
-4. Documents are compared with one pivot per prefix element first, which links families of
-   near copies in linear work. Elements whose documents are all linked by then are done.
+4. Documents are compared with one pivot per prefix element first (some more where an element
+   has many), which links families of near copies in linear work. Elements whose documents are
+   all linked by then are done.
 5. What is left meets in prefix trees: a set walks the tree along the leaves with which it
    shares an element of its prefix; branches share the overlap counted so far and are cut as
    soon as more elements are missing than the remaining length leaves. Sets that links
    connect already are not compared again. A tree holds the documents that shared elements
    connect. If those are more than CELL elements, each of their elements has its own tree
-   or they are cut into chunks and each pair of chunks is a task, whichever copies less.
+   or they are cut into chunks, whichever copies less; chunks of the largest component so far
+   meet the chunks of the rest, not each other.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from sparklog.llm.kernels import BASE, LOWER, MIX_B, U64, gram_hashes, mix, part
 
 #: Elements that one task holds in a prefix tree.
 CELL = 1 << 19
+#: Elements of more documents than CROWD get up to TURNS more pivots before trees are built.
+CROWD, TURNS = 64, 3
 #: Elements that a bucket of the hash space holds on average, and bytes of text of a chunk, and of texts hashed at once.
 BUCKET, CHUNK, PART = 1 << 20, 2 << 20, 1 << 19
 
@@ -394,13 +398,35 @@ def _units(rest: DataFrame) -> DataFrame:
     return placed.select(F.when(F.col("by_element"), F.col("w")).otherwise(F.col("root")).alias("unit"), "by_element", "node", "n", "label").distinct()
 
 
+def _dealt(units: DataFrame) -> DataFrame:
+    """Tasks of at most about two CELLs that together compare all sets of a unit that have different labels: ``unit, by_element, kind,
+    i, j, node, label, side``. A unit of one CELL is one task (kind 0). Of a larger one, the label that holds most goes in chunks that
+    each meet every chunk of the rest (kind 1), never each other, and the chunks of the rest meet in pairs (kind 2). So a family that
+    its pivots have linked costs work in proportion, whatever else its elements hold."""
+    key = ["unit", "by_element"]
+    by_label = units.groupBy(*key, "label").agg(F.sum("n").alias("held"))
+    most = F.max(F.struct("held", "label"))
+    sizes = by_label.groupBy(*key).agg(F.sum("held").alias("whole"), most.alias("most"))
+    count = lambda n: F.greatest(F.ceil(n / CELL), F.lit(1)).cast("int")
+    sizes = sizes.select(*key, F.col("most.label").alias("major"), (F.col("whole") <= CELL).alias("one"), count(F.col("most.held")).alias("majors"), count(F.col("whole") - F.col("most.held")).alias("others"))
+    sizes = runtime.cut(sizes, "sizes")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    zero = F.lit(0)
+    own = part("others")
+    apart = F.concat(
+        F.transform(upto("majors"), lambda i: task(1, i, own, F.lit(1))),
+        F.transform(upto("others"), lambda j: task(2, F.least(own, j), F.greatest(own, j), own)),
+    )
+    tasks = F.when(F.col("one"), F.array(task(0, zero, zero, zero))).when(F.col("label") == F.col("major"), F.transform(upto("others"), lambda j: task(1, part("majors"), j, zero))).otherwise(apart)
+    rows = units.join(sizes.hint("merge"), key).select(*key, "node", "label", F.explode(tasks).alias("t"))
+    return rows.select(*key, "t.kind", "t.i", "t.j", "node", "label", "t.side")
+
+
 def _tree_links(rest: DataFrame, nodes: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     """Links between the sets of ``rest`` that its labels do not connect."""
     units = runtime.cut(_units(rest), "units")
-    sizes = runtime.cut(units.groupBy("unit", "by_element").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("chunks")), "sizes")
-    dealt = units.join(sizes.hint("merge"), ["unit", "by_element"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("unit", "by_element", "node", "label", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
 
     def cell(t: pa.Table) -> pa.Table:
         import zstandard
@@ -408,14 +434,25 @@ def _tree_links(rest: DataFrame, nodes: DataFrame, n_words: int, num: int, den:
         tool = zstandard.ZstdDecompressor()
         value, size = _sets(t.column("packed").to_pylist(), n_words)
         rank = np.frombuffer(b"".join(tool.decompress(r) for r in t.column("ranks").to_pylist()), np.uint8)
-        node, side = t.column("node").to_numpy(), t.column("chunk").to_numpy()
-        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        kind, i, j = (t.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        across = kind == 1 or i != j
         label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1].reshape(-1)
         a, b = np.array(tree_join(value, size, num, den, rank, side if across else None, label), np.int64).reshape(-1, 2).T
         return pa.table([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    at_work = dealt.hint("merge").join(nodes.select("node", "packed", "ranks"), "node")
-    return at_work.groupBy("unit", "by_element", "i", "j").applyInArrow(runtime.lean_group(cell), "a long, b long")
+    at_work = _dealt(units).hint("merge").join(nodes.select("node", "packed", "ranks"), "node")
+    return at_work.groupBy("unit", "by_element", "kind", "i", "j").applyInArrow(runtime.lean_group(cell), "a long, b long")
+
+
+def _rest(held: DataFrame, known: DataFrame) -> DataFrame:
+    """Of ``held`` (w, node, n) the elements whose documents the components ``known`` do not connect: ``w, node, n, label, least``."""
+    labelled = held.select("w", "node", "n").join(known.hint("merge"), "node", "left").select("w", "node", "n", F.coalesce("root", "node").alias("label"))
+    labelled = runtime.cut(labelled, "labelled")
+    apart = runtime.cut(labelled.groupBy("w").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("w", "least"), "apart")
+    rest = runtime.cut(labelled.join(apart.hint("merge"), "w"), "rest")
+    runtime.drop(labelled, apart)
+    return rest
 
 
 def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
@@ -440,10 +477,17 @@ def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     pairs = met.filter(near).select("node", F.col("pivot.node").alias("pivot")).distinct()
     links = runtime.cut(_verified(pairs, nodes, n_words, num, den), "links")
     known = runtime.cut(components(links), "known")
-    labelled = met.select("w", "node", "n").join(known.hint("merge"), "node", "left").select("w", "node", "n", F.coalesce("root", "node").alias("label"))
-    labelled = runtime.cut(labelled, "labelled")
-    apart = runtime.cut(labelled.groupBy("w").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("w", "least"), "apart")
-    rest = runtime.cut(labelled.join(apart.hint("merge"), "w"), "rest")
+    rest = _rest(met, known)
+    for turn in range(TURNS):  # more pivots, each drawn anew, for elements that many documents share
+        drawn = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn)))
+        crowds = runtime.cut(rest.groupBy("w").agg(drawn.alias("pivot"), F.count("*").alias("held")).filter(F.col("held") > CROWD).select("w", "pivot"), "crowds")
+        if crowds.isEmpty():
+            break
+        near = (F.col("label") != F.col("pivot.label")) & (num * F.greatest("n", "pivot.n") <= den * F.least("n", "pivot.n"))
+        pairs = rest.join(crowds.hint("merge"), "w").filter(near).select("node", F.col("pivot.node").alias("pivot")).distinct()
+        links = links.unionByName(runtime.cut(_verified(pairs, nodes, n_words, num, den), "links"))
+        known = runtime.cut(components(links), "known")
+        rest = _rest(rest, known)
     if not rest.isEmpty():
         more = runtime.cut(_tree_links(rest, nodes, n_words, num, den), "links", free=True)
         known = runtime.cut(components(links.unionByName(more)), "known")
@@ -452,7 +496,7 @@ def _grouped(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     least = reps.join(least.hint("merge"), "root").select("node", "component_id")
     home = classes.join(least.hint("merge"), "node", "left").select("hi", "lo", F.coalesce("component_id", "rep").alias("component_id"))
     home = runtime.cut(home, "home")
-    runtime.drop(nodes, often, labelled, apart, rest, links, known, classes)
+    runtime.drop(nodes, often, rest, known, classes)
     some = signed.filter("n_shingles > 0").join(home.hint("merge"), ["hi", "lo"]).select("doc_id", "n_shingles", "hi", "lo", "component_id")
     return some.unionByName(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", "hi", "lo", F.col("doc_id").alias("component_id")))
 

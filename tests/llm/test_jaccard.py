@@ -71,11 +71,31 @@ def test_groups_equal_all_pairs(spark, n, num, den):
 def test_groups_over_many_cells(spark, monkeypatch, cell):
     """Trees for single elements, and pairs of chunks."""
     monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "CROWD", 2)
     rows = corpus(random.Random(9), 300, boiler=False)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard.groups(df, 2, 60, 100).collect())) == brute(rows, 2, 60, 100)
 
 
+def test_family_that_one_pivot_does_not_link(spark, monkeypatch):
+    """Variants of one text, most pairs of them below the threshold: chains link them. With and without more pivots, whole and in chunks."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(120), r.randint(0, 7)):
+            w[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 80, 100)
+    assert 1 < len({c for _, _, c in want}) < 100
+    for cell, turns in ((1 << 19, 3), (2000, 0), (1000, 2)):
+        monkeypatch.setattr(jaccard, "CELL", cell)
+        monkeypatch.setattr(jaccard, "TURNS", turns)
+        assert sorted(map(tuple, jaccard.groups(df, 3, 80, 100).collect())) == want
+
+
 def test_keep_one_of_repeated_ids_and_without_id(spark):
     a, b, c = "one two three four five six seven", "x1 x2 x3 x4 x5 x6 x7", "y1 y2 y3 y4 y5 y6"
     rows = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (2, b, "r"), (3, b, "s"), (4, c, "t"), (4, "", "u"), (4, None, "v"), (None, a, "w"), (None, None, None), (5, c, "z")]
