@@ -114,7 +114,7 @@ def _by_window(held: DataFrame) -> DataFrame:
             made = (anchor[row], seg[row], step.astype(np.int32), h[heads[row] + step].view(np.int64), doc[row], (begin[row] + step).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], schema=schema)
 
-    rows = runtime.cut(held.mapInArrow(runtime.lean(run), "anchor long, seg long, step int, window long, doc_id long, begin int"), "windows")
+    rows = runtime.cut(held.mapInArrow(runtime.lean(run), "anchor long, seg long, step int, window long, doc_id long, begin int"), "windows", free=True)
     first = runtime.cut(rows.groupBy("window").agg(F.min(F.struct("doc_id", "begin")).alias("place")), "first")
     steps = rows.select("anchor", "seg", "step", "window").distinct().join(first.hint("merge"), "window")
     listed = steps.groupBy("anchor", "seg").agg(F.sort_array(F.collect_list(F.struct("step", "place.doc_id", "place.begin"))).alias("s"))
@@ -149,9 +149,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     often = runtime.cut(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")
     repeated = runtime.cut(every.join(often.hint("merge"), "anchor"), "repeated", free=True)
     runtime.drop(often)
-    distinct = runtime.cut(repeated.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "begin")).alias("place"), F.min("windows").alias("windows")), "distinct")
+    distinct = runtime.cut(repeated.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "begin")).alias("place"), F.min("windows").alias("windows")), "distinct", free=True)
     hot = runtime.cut(distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
-    wanted = distinct.groupBy("place.doc_id").agg(F.collect_list(F.struct("anchor", "seg", F.col("place.begin").alias("begin"), "windows")).alias("wanted"))
     content = pa.schema([*fields, ("words", pa.list_(pa.int64()))])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +172,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h[ragged(at, n)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(flat["anchor"][pick][own]), pa.array(flat["seg"][pick][own]), pa.array(ids[a + row][own]), pa.array(begin[own].astype(np.int32)), pa.array(windows[own].astype(np.int32)), held], schema=content)
 
-    packed = runtime.squeezed(source)  # texts cross the network twice, for the segments' words and for the result
-    texts = packed.join(wanted.hint("merge"), "doc_id").select("doc_id", "packed", "wanted")
-    held = texts.mapInArrow(runtime.lean(fetch), "anchor long, seg long, doc_id long, begin int, windows int, words array<long>")
+    packed = runtime.squeezed(source)  # texts cross the network for the segments' words and for the result
+
+    def fetched(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.groupBy("place.doc_id").agg(F.collect_list(F.struct("anchor", "seg", F.col("place.begin").alias("begin"), "windows")).alias("wanted"))
+        texts = packed.join(wanted.hint("merge"), "doc_id").select("doc_id", "packed", "wanted")
+        return texts.mapInArrow(runtime.lean(fetch), "anchor long, seg long, doc_id long, begin int, windows int, words array<long>")
+
     answer = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("docs", pa.list_(pa.int64())), ("begins", pa.list_(pa.int32()))])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +219,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield from made.to_batches(max_chunksize=20_000)
 
     types = "anchor long, seg long, docs array<long>, begins array<int>"
-    if hot.isEmpty():
-        answers = held.repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.lean(index), types)
-    else:
-        held = runtime.cut(held, "held")
-        cool = held.join(hot.hint("merge"), "anchor", "left_anti").repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.lean(index), types)
-        answers = cool.unionByName(_by_window(held.join(hot.hint("merge"), "anchor", "left_semi")))
+    cool, split = distinct, None
+    if not hot.isEmpty():
+        cool, split = distinct.join(hot.hint("merge"), "anchor", "left_anti"), _by_window(fetched(distinct.join(hot.hint("merge"), "anchor", "left_semi")))
+    answers = fetched(cool).repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.lean(index), types)
+    answers = answers if split is None else answers.unionByName(split)
     marks = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("mask", pa.int32())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
