@@ -6,6 +6,8 @@ is parsed where it lies and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(made)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once; unlike ``once``, nothing is evaluated if the result is not asked for."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def severity_of(level: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
     return F.coalesce(F.element_at(known, level), F.lit("UNKNOWN"))
@@ -115,9 +122,12 @@ class WindowsService:
         rest = F.filter("_rows", lambda x, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (i < r["end"])))
         out = out.withColumn("is_exception", F.size("_runs") > 0)
         out = out.withColumn("exception_text", F.when(F.col("is_exception"), text.strip(F.array_join(block, "\n"))))
-        out = once(out, _rest_rows=F.when(F.col("is_exception"), rest).otherwise(F.col("_rows")))
-        out = once(out, _fields=F.map_from_entries(pairs_of(F.col("_rest_rows"))))
-        return out.withColumn("extra_fields", F.to_json(policy.fields(F.col("_fields")), {"ignoreNullFields": "false"})).drop("_lines", "_head", "_rest", "_rows", "_runs", "_rest_rows", "_fields")
+        body = F.when(F.col("is_exception"), rest).otherwise(F.col("_rows"))
+        fields = bound(body, lambda lines: F.map_from_entries(pairs_of(lines)))
+        if policy.actions:  # uses the fields more than once
+            out = once(out, _fields=fields)
+            fields = policy.fields(F.col("_fields"))
+        return out.withColumn("extra_fields", F.to_json(fields, {"ignoreNullFields": "false"})).drop("_lines", "_head", "_rest", "_rows", "_runs", "_fields")
 
     def segments(self, exception_text: Column) -> Column:
         pieces = F.flatten(F.transform(text.lines(text.newlines(exception_text)), lambda s: F.split(s, INNER_MARKER)))
