@@ -38,8 +38,8 @@ from sparklog.llm.kernels import BASE, LOWER, MIX_B, U64, gram_hashes, mix, part
 
 #: Elements that one task holds in a prefix tree.
 CELL = 1 << 19
-#: Elements of more documents than CROWD get up to TURNS more pivots before trees are built.
-CROWD, TURNS = 64, 3
+#: Elements of more documents than CROWD, which no cell holds, get up to TURNS more pivots before trees are built.
+CROWD, TURNS = 1 << 12, 3
 #: Elements that a bucket of the hash space holds on average, and bytes of text of a chunk, and of texts hashed at once.
 BUCKET, CHUNK, PART = 1 << 20, 2 << 20, 1 << 19
 

@@ -93,6 +93,7 @@ def test_family_that_one_pivot_does_not_link(spark, monkeypatch):
     for cell, turns in ((1 << 19, 3), (2000, 0), (1000, 2)):
         monkeypatch.setattr(jaccard, "CELL", cell)
         monkeypatch.setattr(jaccard, "TURNS", turns)
+        monkeypatch.setattr(jaccard, "CROWD", 20)
         assert sorted(map(tuple, jaccard.groups(df, 3, 80, 100).collect())) == want
 
 
