@@ -31,7 +31,7 @@ SPAN, GRAM = 20, 8
 #: Words in one index, unless one anchor has more: a task's anchors are indexed in shards of this size, one at a time.
 SHARD_WORDS = 1 << 18
 #: Distinct segments of one anchor that go into one index.
-HOT = 1 << 13
+HOT = 1 << 15
 
 
 def segments(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -224,6 +224,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         cool, split = distinct.join(hot.hint("merge"), "anchor", "left_anti"), _by_window(fetched(distinct.join(hot.hint("merge"), "anchor", "left_semi")))
     answers = fetched(cool).repartition(runtime.partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(runtime.lean(index), types)
     answers = answers if split is None else answers.unionByName(split)
+    # Written, so that the shuffles of the words go before texts are shuffled once more.
+    answers = runtime.cut(answers, "answers", free=True)
+    runtime.drop(distinct)
     marks = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("mask", pa.int32())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
