@@ -8,8 +8,8 @@ A file holds the ids of documents in ascending ``doc_id`` order:
 
 Every id takes ``bits`` bits, the least that hold the vocabulary. A block is unpacked
 with a few array operations; the offsets give any document or id without the rest.
-A file's name is its writer's alone, and the manifest, which Spark commits, lists the files
-that count; what a lost or doubled task wrote is in no manifest.
+A file's name is its writer's alone, and the manifest, made of the rows of the tasks that
+count, lists the files; what a lost or doubled task wrote is in no manifest.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ HEAD = struct.Struct("<4sBBxxIIQQ")
 BLOCK = 4096
 #: Ids gathered before a file is closed; a document's ids never lie in two files.
 SHARD_IDS = 1 << 24
+#: Ids that a task reads back, about: files are as many as the writers' tasks, and may be small.
+READ_IDS = 1 << 22
 
 
 def bits_for(vocabulary: int) -> int:
@@ -166,7 +168,9 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int |
 
     # By doc_id alone: the sample that sets the ranges goes to the driver, and must not hold texts.
     ordered = runtime.texts(docs).repartitionByRange(runtime.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return runtime.cut(ordered.mapInArrow(write, "file string, part long, seq long, n_docs long, n_ids long"), "manifest")
+    made = ordered.mapInArrow(runtime.lean(write), "file string, part long, seq long, n_docs long, n_ids long").toArrow()
+    # A row for each file, so few that one task writes them: on a local disk Spark starts a command or more for each file and folder it makes.
+    return runtime.cut(spark.createDataFrame(made).coalesce(1), "manifest")
 
 
 MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -195,4 +199,6 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, uri: str) -> Data
                         at = end
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(held.doc_ids)), pa.array(held.starts[:-1] + base), pa.array(np.diff(held.starts)), pa.array(crc)], schema=schema)
 
-    return placed.repartition(runtime.partitions(spark), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n_ids = manifest.agg(F.sum("n_ids")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_ids // READ_IDS))
+    return placed.repartition(tasks).mapInArrow(runtime.lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -254,6 +254,24 @@ def test_token_files_equal_library(spark, odd_docs, no_docs):
     assert idfiles.read_token_files(spark, empty, uri + "-none").count() == 0
 
 
+def test_token_files_of_many_small_partitions(spark, odd_docs):
+    """The manifest is one file and documents are read by few tasks, however many tasks wrote: Spark starts commands for each file it makes."""
+    rows = odd_docs.count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        uri = runtime.new_dir(spark, "ids")
+        manifest = idfiles.write_token_files(odd_docs, uri, queries.WORD_VOCABULARY, end_id=2)
+        assert manifest.count() > 12 and len(manifest.inputFiles()) == 1
+        found = runtime.cut(idfiles.read_token_files(spark, manifest, uri), "documents")
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = found.orderBy("start").collect()
+    assert len(got) == rows and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(rows)]
+
+
 def check_pieces(pieces, documents, length):
     """pieces: (doc, start, n, crc, total, seq, offset); documents: doc -> list of id arrays."""
     by_seq = defaultdict(list)
