@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ HEAD = struct.Struct("<4sBBxxIIQQ")
 BLOCK = 4096
 #: Ids gathered before a file is closed; a document's ids never lie in two files.
 SHARD_IDS = 1 << 24
-#: Ids that a task reads back, about: files are as many as the writers' tasks, and may be small.
-READ_IDS = 1 << 22
+#: Ids that a task reads back, about: there is a file for each writer's task at least, and those may be small.
+READ_IDS = 1 << 24
 
 
 def bits_for(vocabulary: int) -> int:
@@ -126,6 +127,18 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+@contextmanager
+def _small_scans(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Parquet is read a few hundred rows at once: arrays of long texts by the thousand make the executors' heaps grow."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "512")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode every text of ``docs`` (null text: empty) and write its ids under ``uri`` in ascending ``doc_id`` order.
 
@@ -168,7 +181,8 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int |
 
     # By doc_id alone: the sample that sets the ranges goes to the driver, and must not hold texts.
     ordered = runtime.texts(docs).repartitionByRange(runtime.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInArrow(runtime.lean(write), "file string, part long, seq long, n_docs long, n_ids long").toArrow()
+    with _small_scans(spark):
+        made = ordered.mapInArrow(runtime.lean(write), "file string, part long, seq long, n_docs long, n_ids long").toArrow()
     # A row for each file, so few that one task writes them: on a local disk Spark starts a command or more for each file and folder it makes.
     return runtime.cut(spark.createDataFrame(made).coalesce(1), "manifest")
 

@@ -257,12 +257,13 @@ def test_token_files_equal_library(spark, odd_docs, no_docs):
 def test_token_files_of_many_small_partitions(spark, odd_docs):
     """The manifest is one file and documents are read by few tasks, however many tasks wrote: Spark starts commands for each file it makes."""
     rows = odd_docs.count()
-    before = spark.conf.get("spark.sql.shuffle.partitions")
+    before, scans = (spark.conf.get(f"spark.sql.{x}") for x in ("shuffle.partitions", "parquet.columnarReaderBatchSize"))
     spark.conf.set("spark.sql.shuffle.partitions", "24")
     try:
         uri = runtime.new_dir(spark, "ids")
         manifest = idfiles.write_token_files(odd_docs, uri, queries.WORD_VOCABULARY, end_id=2)
         assert manifest.count() > 12 and len(manifest.inputFiles()) == 1
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == scans
         found = runtime.cut(idfiles.read_token_files(spark, manifest, uri), "documents")
         assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
     finally:
